@@ -34,3 +34,29 @@ def byte_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     return data, offsets.astype(np.int64) - int(offsets[0])
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+
+
+def array_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """``texts`` in slices of about ``most`` bytes."""
+    for batch in text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), most=most):
+        yield batch.column(0)
+
+
+def split_words(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all texts in a row, and where each text's words begin.
+
+    The separators are ASCII, so bytes can be told apart without decoding.
+    """
+    inside = ~SPACE[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    edge = off[:-1][off[:-1] < off[1:]]
+    start[edge] = inside[edge]
+    pos = np.flatnonzero(start)
+    kept = np.concatenate([[0], np.cumsum(inside)])
+    offsets = np.append(kept[pos], kept[-1])
+    words = pa.LargeStringArray.from_buffers(len(pos), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    return words, np.searchsorted(pos, off)
