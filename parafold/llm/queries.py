@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op10_packing
 from .quality import op2_quality_rules
+from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op7_warc": op7_warc,
     "op10_packing": op10_packing,
