@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op5_jaccard_join
 from .packing import op10_packing
 from .quality import op2_quality_rules
 from .toxicity import op1_toxicity
@@ -14,6 +15,7 @@ from .warc import OP7_SQL, op7_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_warc": op7_warc,
     "op10_packing": op10_packing,
 }
