@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import op5_jaccard_join
 from .packing import op10_packing
 from .quality import op2_quality_rules
+from .substrings import OP8_SQL, op8_substring_dedup
 from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc
 
@@ -17,9 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
