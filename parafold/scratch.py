@@ -66,7 +66,7 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, arrow_rows: str = ARROW_ROWS) -> DataFrame:
         """Write ``df`` as Parquet and return the table read again.
 
         Shuffle files of the write are removed once it has ended.
@@ -74,7 +74,7 @@ class Scratch:
         path = self.path(name)
         with settings(
             self.spark,
-            spark__sql__execution__arrow__maxRecordsPerBatch=ARROW_ROWS,
+            spark__sql__execution__arrow__maxRecordsPerBatch=arrow_rows,
             spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
             spark__sql__parquet__compression__codec="zstd",
         ):
