@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op5_jaccard_join
+from .katz import op3_katz_backoff
 from .packing import op10_packing
 from .quality import op2_quality_rules
 from .substrings import OP8_SQL, op8_substring_dedup
@@ -16,6 +17,7 @@ from .warc import OP7_SQL, op7_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_katz_backoff": op3_katz_backoff,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
