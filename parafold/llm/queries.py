@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op9_decontamination
 from .jaccard import op5_jaccard_join
 from .katz import op3_katz_backoff
+from .lines import op6_line_dedup
 from .packing import op10_packing
+from .pii import op4_personal_data
 from .quality import op2_quality_rules
 from .substrings import OP8_SQL, op8_substring_dedup
 from .toxicity import op1_toxicity
@@ -18,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_katz_backoff": op3_katz_backoff,
+    "op4_personal_data": op4_personal_data,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
