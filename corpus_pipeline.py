@@ -1,20 +1,66 @@
-"""The corpus pipeline: quality rules, line dedup, near copies, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near copies, decontamination, packing.
+
+Each stage works on all rows that the one before kept and, but for the last,
+returns the columns of ``documents``.  Tables that a stage needs besides its
+documents (labels, benchmark) come from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from parafold.llm.decontamination import drop_leaks
+from parafold.llm.jaccard import keep_one
+from parafold.llm.lines import dedup_lines
+from parafold.llm.packing import pack
+from parafold.llm.quality import keep_good
+from parafold.scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor a learned rule rejects."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that stay; those that lost all words go."""
+    return dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage like a benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is in which sequence."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: Learned rules and iterative grouping are beyond SQL.
+#: Learned rules and connected groups are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, over the documents of ``sf_dir``."""
+    """All stages in order, over the documents of ``sf_dir``; each is written and read again."""
+    work = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = work.save(stage(spark, docs, sf_dir), name)
     return docs
