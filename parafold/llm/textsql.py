@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What separates normalised words: ASCII that is neither letter nor digit.
 BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The same but for the line feed, as a plain pattern.
+BREAK_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_sql(text: str) -> str:
