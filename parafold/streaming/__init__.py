@@ -1 +1,24 @@
+"""Live series: lines of text files as a stream."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_lines(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of CSV lines of new files in a folder; a line that does not fit has nulls."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
+
+
+def summarise(stream: DataFrame, ts: str, value: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Count, mean and extremes of each time window; rows later than ``late`` are left out."""
+    seen = stream.withWatermark(ts, late)
+    return seen.groupBy(F.window(ts, width).alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")).select(F.col("w.start").alias("start"), "n", "mean", "low", "high")
+
+
+def save_batches(stream: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]):
+    """Hand each micro-batch to ``save``; batches repeat after a failure, so it must overwrite by number."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
