@@ -227,7 +227,7 @@ def test_line_dedup(spark, texts):
 def test_line_dedup_of_many_near_lines(spark):
     """More classes in a bucket than a part of a tile holds."""
     base = [f"word{i}" for i in range(60)]
-    docs = {i: " ".join([*base[:i], f"other{i}", *base[i + 1 :]]) + "\nsame line here" for i in range(60)} | {100 + i: " ".join([*base, f"end{i}"]) for i in range(150)}
+    docs = {i: " ".join([*base[:i], f"other{i}", *base[i + 1 :]]) + "\nsame line here" for i in range(12)} | {100 + i: " ".join([*base, f"end{i}"]) for i in range(150)}
     want = removed_lines(docs)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r.doc_id: r.lines.n_removed for r in lines.with_kept_text(frame).collect()} == {d: want[d] for d in docs}
