@@ -8,7 +8,9 @@ weight of a shorter context is for both classes that of the class that knows
 less, and the shortest one has shared counts, so a rare expression is judged by
 the parts that are known and one that neither class knows says nothing.
 
-``learn`` takes a bounded sample of labelled documents.  A document's evidence
+``learn`` takes a bounded sample of labelled documents, and all their words; the
+constant of the logistic function is moved from the share of toxic documents in
+the sample to that of all labels.  A document's evidence
 is the difference of the two log-likelihoods, normalised by the number of words,
 over all the document, over its most toxic passage, and over its words of
 strong difference alone; a logistic function of these, fitted on documents whose counts were left out, is its score.
@@ -37,8 +39,6 @@ from .words import array_slices, byte_buffers, split_words, text_slices
 
 #: Labelled documents of each kind, at most, that the models are fitted on.
 SAMPLE_ROWS = 4_000
-#: Distinct words of the sample, at most, that are counted: the most frequent.
-MODEL_WORDS = 200_000
 #: Signs of the longest context, and of the pieces that longer words are cut in.
 ORDER, PIECE = 5, 40
 DISCOUNT = 0.9
@@ -51,6 +51,9 @@ CLIP = 8.0
 THRESHOLD = 0.7
 
 _COUNTS = T.StructType([T.StructField("word", T.StringType()), *[T.StructField(f"n{i}", T.LongType()) for i in range(4)]])
+#: Counts of toxic and ordinary documents: of the first fold, the second, and both.
+_FITS = ("n0", "n1"), ("n2", "n3"), ("n4", "n5")
+_KEYED = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", *sum(_FITS, ()))])
 _PLAIN = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 94  # a sign that no plain word has
@@ -101,12 +104,27 @@ class Spelling:
     def keys(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Signs with at least ``level`` before them: which, gram keys, context keys."""
         at = self.some[self.place[self.some] >= level]
-        with np.errstate(over="ignore"):
-            context = np.full(len(at), np.uint64(level + 1))
-            for back in range(level, 0, -1):
-                context = (context ^ (context >> np.uint64(29))) * _MULTIPLIER + self.signs[at - back]
-            gram = (context ^ (context >> np.uint64(31))) * _MULTIPLIER + self.signs[at]
-            return at, gram ^ (gram >> np.uint64(32)), context
+        return at, *_hashes([self.signs[at - back] for back in range(level, -1, -1)])
+
+
+def _hashes(signs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Gram keys and context keys of signs, given with those before them, the last one last."""
+    with np.errstate(over="ignore"):
+        context = np.full(len(signs[0]), np.uint64(len(signs)))
+        for sign in signs[:-1]:
+            context = (context ^ (context >> np.uint64(29))) * _MULTIPLIER + sign
+        gram = (context ^ (context >> np.uint64(31))) * _MULTIPLIER + signs[-1]
+        return gram ^ (gram >> np.uint64(32)), context
+
+
+def _keys_of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys instead of grams, all of the same length."""
+    for batch in batches:
+        if batch.num_rows:
+            text = "".join(batch.column("g").to_pylist())
+            signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(batch.num_rows, -1)
+            keys = [pa.array(k.view(np.int64)) for k in _hashes(list(signs.T))]
+            yield pa.RecordBatch.from_arrays([*keys, *[batch.column(c) for c in _KEYED.names[2:]]], names=_KEYED.names)
 
 
 @dataclass
@@ -136,27 +154,15 @@ class ToxicityModel:
     weights: np.ndarray  # constant, whole text, passage, strong words
 
     @staticmethod
-    def fit(words: list[str], counts: np.ndarray) -> ToxicityModel:
-        spelling = Spelling(words)
-        grams: list[_Table] = []
-        contexts: list[_Table] = []
-        longer = None
-        for level in range(ORDER, -1, -1):
-            at, gram, context = spelling.keys(level)
-            raw = counts[spelling.word[at]]
-            if longer is not None:
-                # Signs that have a longer context count once for each of its kinds.
-                inside = spelling.place[at] > level
-                first, kinds = longer
-                where = np.searchsorted(at, first)
-                raw = np.where(inside[:, None], 0, raw).astype(float)
-                np.add.at(raw, where, (kinds > 0).astype(float))
-            distinct, index, inverse = np.unique(gram, return_index=True, return_inverse=True)
-            n = np.column_stack([np.bincount(inverse, v, len(distinct)) for v in raw.T])
-            grams.append(_Table(distinct, n))
-            contexts.append(_Table.sums(context[index], np.column_stack([n, np.maximum(n - DISCOUNT, 0)])))
-            longer = at[index], n
-        return ToxicityModel(grams[::-1], contexts[::-1], np.zeros(4))
+    def of(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> ToxicityModel:
+        """From keys of grams and contexts, and counts of grams, of each level."""
+        grams, contexts = [], []
+        for gram, context, n in levels:
+            some = n.any(1)
+            gram, context, n = gram[some], context[some], n[some]
+            grams.append(_Table.sums(gram, n))
+            contexts.append(_Table.sums(context, np.column_stack([n, np.maximum(n - DISCOUNT, 0)])))
+        return ToxicityModel(grams, contexts, np.zeros(4))
 
     def differences(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word by the toxic model less the ordinary."""
@@ -218,6 +224,38 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
+def gram_counts(words: DataFrame, work: Scratch) -> list[DataFrame]:
+    """(g, n0 to n5) by level: the grams of all words, with counts of ``_FITS``.
+
+    A sign counts at the level of its longest context; at each lower level it
+    counts once for each kind of the grams that are longer by a sign.
+    """
+    names = _KEYED.names[2:]
+    piece = F.explode(F.expr(f"transform(sequence(0, length(word) - 1, {PIECE}), k -> concat('^', substring(word, k + 1, {PIECE}), '^'))"))
+    pieces = words.select(piece.alias("p"), "n0", "n1", "n2", "n3", (F.col("n0") + F.col("n2")).alias("n4"), (F.col("n1") + F.col("n3")).alias("n5"))
+    longest = F.explode(F.expr(f"transform(sequence(1, length(p) - 1), i -> substring(p, greatest(i - {ORDER}, 0) + 1, least(i, {ORDER}) + 1))"))
+    sums = [F.sum(c).alias(c) for c in names]
+    own = work.save(pieces.select(longest.alias("g"), *names).groupBy("g").agg(*sums), "grams")
+    levels: list[DataFrame] = []
+    for level in range(ORDER, -1, -1):
+        rows = own.where(F.length("g") == level + 1)
+        if levels:
+            kinds = levels[-1].select(F.expr("substring(g, 2)").alias("g"), *[(F.col(c) > 0).cast("long").alias(c) for c in names])
+            rows = rows.unionByName(kinds).groupBy("g").agg(*sums)
+        levels.append(work.save(rows, f"grams_{level}"))
+    return levels[::-1]
+
+
+def _collect(levels: list[DataFrame]) -> list[ToxicityModel]:
+    """The models of ``_FITS``."""
+    found = []
+    for rows in levels:
+        table = rows.mapInArrow(_keys_of_grams, _KEYED).toArrow()
+        found.append({c: table.column(c).to_numpy() for c in table.column_names})
+    keys = [(t["gram"].view(np.uint64), t["context"].view(np.uint64)) for t in found]
+    return [ToxicityModel.of([(*k, np.column_stack([t[c].astype(float) for c in fit])) for k, t in zip(keys, found, strict=True)]) for fit in _FITS]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
     """Models from at most ``sample_rows`` labelled documents of each kind.
 
@@ -236,20 +274,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", kind.alias("kind"))
     rows = work.save(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.min("kind").alias("kind")).select("text", "kind"), "sample")
     counts = [f"n{i}" for i in range(4)]
-    every = sum((F.col(c) for c in counts[1:]), F.col("n0"))
     found = rows.mapInArrow(_count, _COUNTS).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
-    table = found.orderBy(every.desc(), "word").limit(MODEL_WORDS).toPandas()
-    words, n = table["word"].tolist(), table[counts].to_numpy(float)
+    first, second, model = _collect(gram_counts(found, work))
     # The logistic weights, from documents that the counts leave out.
     x, y = [], []
-    for fold in (0, 1):
-        part = ToxicityModel.fit(words, n[:, [2 - 2 * fold, 3 - 2 * fold]])
+    for fold, part in enumerate((second, first)):
         own = rows.where(F.col("kind").isin(2 * fold, 2 * fold + 1)).select("kind", _evidence(rows, part).alias("e")).select("kind", "e.*").toPandas()
         x.append(own[["mean", "passage", "strong"]].to_numpy(float))
         y.append((own["kind"] % 2 == 0).to_numpy(float))
-    model = ToxicityModel.fit(words, n[:, :2] + n[:, 2:])
     model.weights = _fit(_design(np.concatenate(x)), np.concatenate(y))
-    work.drop("sample")
+    # The sample has other shares of the two kinds than the labels have.
+    model.weights[0] -= np.log(share[True] / share[False])
+    work.drop("sample", "grams", *[f"grams_{level}" for level in range(ORDER + 1)])
     return model
 
 

@@ -45,6 +45,27 @@ def test_toxicity(spark, texts):
     assert not pairs or sum(a > b for a, b in pairs) / len(pairs) > 0.8
 
 
+def test_toxicity_of_a_sample_keeps_the_share_of_all_labels(spark):
+    """Words say nothing here, so that a mean score is the share of toxic labels, one ninth."""
+    import random
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("red green blue black white".split()) + str(rng.randrange(30)) for _ in range(20))) for i in range(1350)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(1350)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, sample_rows=100)
+    mean = docs.select(toxicity.score(docs, model).alias("s")).agg({"s": "avg"}).first()[0]
+    assert 0.05 < mean < 0.2
+
+
+def test_toxicity_counts_rare_words_of_a_large_sample(spark):
+    many = " ".join(f"{i}" for i in range(100_000, 310_000))
+    docs = spark.createDataFrame([(i, many) for i in range(4)] + [(4 + i, f"qxqzqx w{i}") for i in range(4)], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "concat(text, ' x', doc_id) as text")  # texts differ
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "int(doc_id >= 4) as toxic"))
+    n, kinds = model.grams[5].get(toxicity.Spelling(["qxqzqx"]).keys(5)[1]), model.grams[0].values.sum()
+    assert (n[:, 0] > 0).all() and not n[:, 1].any() and kinds > 0
+
+
 def test_quality_counts(spark, texts):
     for r in quality.op2_quality_rules(spark, DIR).collect():
         text = texts[r.doc_id]
