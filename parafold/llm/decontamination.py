@@ -5,19 +5,22 @@ shingle is five consecutive words and weighs as many as they have characters.
 A window of an item's size can only be similar to the item if they share a
 shingle, so windows are taken where a document has a shingle of the benchmark,
 aligned to it.  Each window and item gets a 64-bit weighted SimHash.  The index
-cuts it into ``BLOCKS`` blocks and lists every value that is one bit away too:
-two fingerprints at a distance below ``2 * BLOCKS`` have a block that differs
-in one bit at most, so all items within ``RADIUS`` are found.  They are
-verified by the weighted Jaccard similarity of the multisets of shingles.
+cuts it into ``BLOCKS`` blocks and lists every value that is up to ``FLIPS`` bits
+away too: two fingerprints at a distance below ``(FLIPS + 1) * BLOCKS`` have a
+block that differs in so many bits at most, so all items within ``RADIUS`` are
+found.  Those whose weights allow it are verified by the weighted Jaccard similarity of the multisets of shingles.
 
 Defined results.  A null or empty text has no match.  An item, or a document,
 of fewer than five words has no shingle and matches nothing.  Of several items
-with the same words each is reported.  Rows that repeat id and text are one
+with the same words each is reported, and of several with the same id each by
+itself; items that repeat id and words are one.  Rows that repeat id and text are one
 document.  Null ids are matched and reported as null.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,9 @@ from ..scratch import Scratch
 from .textsql import let, row_key, words_sql
 
 WORDS, THRESHOLD = 5, 0.8
-#: Blocks of the multi-index; each is searched up to one bit away.
-BLOCKS = 8
-RADIUS = 2 * BLOCKS - 1
+#: Blocks of the multi-index; each is searched up to so many bits away.
+BLOCKS, FLIPS = 7, 2
+RADIUS = (FLIPS + 1) * BLOCKS - 1
 #: Shingles of the benchmark up to which their table (24 bytes each) is broadcast.
 BROADCAST_GRAMS = 2_000_000
 
@@ -52,20 +55,24 @@ def simhash_sql(shingles: str) -> str:
 
 
 def index_items(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """item_id, n_words, shingles and fingerprint of each item that has a shingle."""
-    items = benchmark.select("item_id", F.expr(words_sql("text")).alias("words")).where(F.size("words") >= words)
-    items = items.select("item_id", F.size("words").alias("n_words"), F.expr(shingles_sql("words", words)).alias("shingles"))
+    """item (a key), item_id, n_words, shingles and fingerprint of each item that has a shingle.
+
+    The key holds once the table is written.
+    """
+    items = benchmark.select("item_id", F.expr(words_sql("text")).alias("words")).where(F.size("words") >= words).distinct()
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("words").alias("n_words"), F.expr(shingles_sql("words", words)).alias("shingles"))
     return items.withColumn("fingerprint", F.expr(simhash_sql("shingles")))
 
 
 def block_keys(fingerprint: str, flips: bool) -> Column:
-    """A key of each block of the fingerprint, and of the values one bit away."""
-    width = 64 // BLOCKS
-    own = [f"{b * (1 << width)}L + (shiftrightunsigned({fingerprint}, {b * width}) & {(1 << width) - 1}L)" for b in range(BLOCKS)]
-    if not flips:
-        return F.expr(f"array({', '.join(own)})")
-    bits = ", ".join(["0L", *(f"{1 << k}L" for k in range(width))])
-    return F.expr(f"flatten(transform(array({', '.join(own)}), k -> transform(array({bits}), f -> k ^ f)))")
+    """A key of each block of the fingerprint, and of the values up to ``FLIPS`` bits away."""
+    edges = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    keys = []
+    for b, (low, high) in enumerate(pairwise(edges)):
+        own = f"{b << 32}L + (shiftrightunsigned({fingerprint}, {low}) & {(1 << (high - low)) - 1}L)"
+        near = [sum(1 << k for k in chosen) for n in range(FLIPS + 1) for chosen in combinations(range(high - low), n)] if flips else [0]
+        keys.append(f"transform(array({', '.join(f'{x}L' for x in near)}), f -> ({own}) ^ f)")
+    return F.expr(f"flatten(array({', '.join(keys)}))")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,19 +96,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
     cut = cut.select("doc_id", "row_key", "start", "n_words", F.expr(shingles_sql("words", words)).alias("shingles"))
     cut = work.save(cut.withColumn("fingerprint", F.expr(simhash_sql("shingles"))), "cut")
     # Candidates within the radius, by the blocks of the index.
-    prints = items.select("item_id", F.col("fingerprint").alias("item_print"))
-    index = prints.select("item_id", "item_print", F.explode(block_keys("item_print", True)).alias("k"))
-    probes = cut.select("row_key", "start", "n_words", "fingerprint", F.explode(block_keys("fingerprint", False)).alias("k"))
+    weight = "aggregate(shingles, 0L, (s, x) -> s + x.w)"
+    prints = items.select("item", F.col("fingerprint").alias("item_print"), F.expr(weight).alias("item_weight"))
+    index = prints.select("item", "item_print", "item_weight", F.explode(block_keys("item_print", True)).alias("k"))
+    probes = cut.select("row_key", "start", "n_words", "fingerprint", F.expr(weight).alias("weight"), F.explode(block_keys("fingerprint", False)).alias("k"))
     near = probes.join(index, "k").where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = work.save(near.select("row_key", "start", "n_words", "item_id").distinct(), "near")
+    # A similarity is not above the ratio of the weights.
+    near = near.where(F.least("weight", "item_weight") >= F.greatest("weight", "item_weight") * (threshold - 1e-9))
+    near = work.save(near.select("row_key", "start", "n_words", "item").distinct(), "near")
     # Weighted Jaccard similarity of the multisets.
-    own = items.select("item_id", F.explode("shingles").alias("s")).groupBy("item_id", "s.g", "s.w").agg(F.count(F.lit(1)).alias("n_item"))
-    total = items.select("item_id", F.expr("aggregate(shingles, 0L, (s, x) -> s + x.w)").alias("item_weight"))
-    weights = cut.select("doc_id", "row_key", "start", "n_words", F.expr("aggregate(shingles, 0L, (s, x) -> s + x.w)").alias("weight"))
+    own = items.select("item", F.explode("shingles").alias("s")).groupBy("item", "s.g", "s.w").agg(F.count(F.lit(1)).alias("n_item"))
+    total = items.select("item", "item_id", F.expr(weight).alias("item_weight"))
+    weights = cut.select("doc_id", "row_key", "start", "n_words", F.expr(weight).alias("weight"))
     place = ["row_key", "start", "n_words"]
     tf = cut.select(*place, F.explode("shingles").alias("s")).groupBy(*place, "s.g").agg(F.count(F.lit(1)).alias("n"))
-    common = tf.join(near, place).join(own, ["item_id", "g"]).groupBy(*place, "item_id").agg(F.sum(F.col("w") * F.least("n", "n_item")).alias("common"))
-    found = common.join(weights, place).join(total, "item_id")
+    common = tf.join(near, place).join(own, ["item", "g"]).groupBy(*place, "item").agg(F.sum(F.col("w") * F.least("n", "n_item")).alias("common"))
+    found = common.join(weights, place).join(total, "item")
     found = found.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common")))
     found = found.where(F.col("similarity") >= threshold).select("doc_id", "row_key", "item_id", "start", "n_words", "similarity")
     found = work.save(found, "found")

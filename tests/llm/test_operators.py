@@ -282,6 +282,36 @@ def test_decontamination(spark, texts):
     assert {(r.doc_id, r.item_id) for r in decontamination.op9_decontamination(spark, DIR).collect()} == want and want
 
 
+def test_decontamination_near_the_threshold(spark):
+    """Windows that just pass, a word of 52 changed, are all found."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    weights = lambda ws: Counter({tuple(ws[i : i + 5]): len("".join(ws[i : i + 5])) for i in range(len(ws) - 4)})
+    items, docs, want = [], [], set()
+    for i in range(600):
+        words = [word() for _ in range(52)]
+        other = list(words)
+        other[rng.randrange(10, 42)] = word()
+        a, b = weights(words), weights(other)
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join(other)))
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            want.add((i, i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 300 and {(r.doc_id, r.item_id) for r in decontamination.find_leaks(*frames).collect()} == want
+
+
+def test_decontamination_item_ids(spark):
+    """Null ids of items are reported; items of the same id stay apart."""
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    items = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontamination.find_leaks(docs, items).where("start = 0").collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.similarity) for r in got) == [(0, 0, 1.0), (1, 1, 1.0), (2, 1, 1.0)]
+
+
 def test_packing(spark, texts):
     import numpy as np
     import public_tokenizers
