@@ -262,6 +262,15 @@ def test_line_dedup_long_line(spark):
     assert got == {1: _print(" ".join(words)), 2: _print("a b c")}
 
 
+def test_line_dedup_repeated_rows(spark):
+    """Counters of a print do not add up over rows that repeat id and text."""
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text)] * 700, "doc_id long, text string")
+    assert {r["print"] % (1 << 64) for r in lines.line_prints(lines.line_table(docs)).collect()} == {_print(text)}
+    near = docs.union(spark.createDataFrame([(2, text + " w0")], "doc_id long, text string"))
+    assert {(r.doc_id, r.lines.n_removed) for r in lines.with_kept_text(near).collect()} == {(1, 0), (2, 1)}
+
+
 def test_decontamination(spark, texts):
     items = {r.item_id: _normal(r.text).split(" ") for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
 
