@@ -8,10 +8,10 @@ of fillings and how many sequences use each.  Every piece has a rank among the
 pieces of its length, and the plan turns the rank into sequence and offset.
 
 ``plan_fillings`` is a branch and bound on bin completion.  The largest length
-left is completed by undominated fillings, in the order of their waste; a
+left is completed by undominated fillings, in turn as the search comes back; a
 branch ends when its waste exceeds what would still improve the incumbent,
 which best-fit decreasing gives at first.  The search stops at the volume
-bound or after ``node_limit`` nodes, with the best plan so far.
+bound or after ``step_limit`` looks, with the best plan so far.
 
 Defined results.  A null or empty text is one piece of the closing id.  Rows
 that repeat, null ids included, are packed one by one.  An empty table gives an
@@ -25,6 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,10 @@ from .words import byte_buffers, text_slices
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers before it begins anew.
 CACHE_WORDS = 400_000
-#: Search nodes after which the best plan so far is taken.
-NODE_LIMIT = 1_500
+#: Fillings that a node sorts by their waste before it tries them; all are tried.
+TOGETHER = 32
+#: Members that the search looks at before the best plan so far is taken.
+STEP_LIMIT = 300_000
 
 _SPECIAL = "<|endoftext|>"
 _PIECES = T.StructType(
@@ -252,17 +255,16 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(filling, n) for groups in room.values() for filling, n in groups]
 
 
-def fillings(counts: dict[int, int], first: int, capacity: int, most_waste: int, limit: int = 400) -> list[tuple[int, Filling]]:
-    """Undominated completions of ``first``, least waste first.
+def fillings(counts: dict[int, int], first: int, capacity: int, most_waste: int, steps: Counter, limit: int) -> Iterator[tuple[int, Filling]]:
+    """Undominated completions (waste, members) of ``first``, those with the largest members first.
 
     A filling is dominated when a length that is left fits beside it, or can
-    take the place of one or two of its members within the waste.
+    take the place of one or two of its members within the waste.  What is
+    looked at is counted in ``steps``; beyond ``limit`` the search ends.
     """
     counts = dict(counts)
     counts[first] -= 1
     sizes = sorted(s for s, n in counts.items() if n)
-    found: list[tuple[int, Filling]] = []
-    looks = 0
 
     def dominated(filling: Filling, slack: int) -> bool:
         used = Counter(filling)
@@ -275,26 +277,29 @@ def fillings(counts: dict[int, int], first: int, capacity: int, most_waste: int,
                     return True
         return False
 
-    def grow(top: int, slack: int, filling: Filling) -> None:
-        nonlocal looks
-        at = min(top, bisect.bisect_right(sizes, slack))
-        for i in range(at - 1, -1, -1):
-            if looks > limit or len(found) >= 4:
-                return
-            s = sizes[i]
-            if counts[s] > filling.count(s):
-                looks += 1
-                grow(i + 1, slack - s, (*filling, s))
-        if slack <= most_waste and len(found) < 4 and not dominated(filling, slack):
-            found.append((slack, filling))
-
-    grow(len(sizes), capacity - first, ())
-    return sorted(set(found))
-
-
-def plan_fillings(counts: dict[int, int], capacity: int, node_limit: int = NODE_LIMIT) -> Plan:
-    """Fillings of at most ``capacity`` that hold all lengths, few in number."""
+    def grow(top: int, slack: int, filling: Filling) -> Iterator[tuple[int, Filling]]:
+        for i in range(min(top, bisect.bisect_right(sizes, slack)) - 1, -1, -1):
+            for n in range(min(counts[sizes[i]], slack // sizes[i]), 0, -1):
+                steps["looks"] += 1
+                if steps["looks"] > limit:
+                    return
+                yield from grow(i, slack - n * sizes[i], (*filling, *[sizes[i]] * n))
+        if slack <= most_waste and not dominated(filling, slack):
+            yield slack, filling
+
+    return grow(len(sizes), capacity - first, ())
+
+
+def plan_fillings(counts: dict[int, int], capacity: int, step_limit: int = STEP_LIMIT, steps: Counter | None = None) -> Plan:
+    """Fillings of at most ``capacity`` that hold all lengths, few in number.
+
+    A node completes the largest length left by each undominated filling in
+    turn, with as many sequences alike as there can be and then with one.
+    ``steps`` gets the ``nodes`` and the ``looks`` of the search; more looks
+    than ``step_limit`` mean that it was ended there.
+    """
     counts = {s: n for s, n in counts.items() if n}
+    steps = Counter() if steps is None else steps
     if not counts:
         return []
     total = sum(s * n for s, n in counts.items())
@@ -302,31 +307,37 @@ def plan_fillings(counts: dict[int, int], capacity: int, node_limit: int = NODE_
     best_n = sum(n for _, n in best)
     large = sum(n for s, n in counts.items() if 2 * s > capacity)
     bound = max(math.ceil(total / capacity), large)
-    single = sum(counts.values()) <= 200
-    nodes = 0
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and best_n > bound and nodes < node_limit:
-        left, plan, used, waste = stack.pop()
-        nodes += 1
-        rest = sum(s * n for s, n in left.items())
-        if not rest:
-            if used < best_n:
-                best, best_n = plan, used
+
+    def node(left: dict[int, int], waste: int) -> Iterator[tuple[int, Filling, int]]:
+        first, spare = max(left), (best_n - 1) * capacity - total - waste
+        found = fillings(left, first, capacity, spare, steps, step_limit)
+        for slack, filling in chain.from_iterable(map(sorted, iter(lambda: list(islice(found, TOGETHER)), []))):
+            need = Counter((first, *filling))
+            most = min([left[s] // n for s, n in need.items()] + ([spare // slack] if slack else []))
+            for k in dict.fromkeys((max(1, most), 1)):
+                yield slack, (first, *filling), k
+
+    stack = [(counts, [], 0, 0, node(counts, 0))]
+    while stack and best_n > bound and steps["looks"] <= step_limit:
+        left, plan, used, waste, branches = stack[-1]
+        branch = next(branches, None)
+        if branch is None:
+            stack.pop()
             continue
+        slack, whole, k = branch
+        need = Counter(whole)
+        left = {s: m for s, n in left.items() if (m := n - k * need[s])}
+        plan, used, waste = [*plan, (whole, k)], used + k, waste + k * slack
+        steps["nodes"] += 1
+        rest = sum(s * n for s, n in left.items())
         if used + math.ceil(rest / capacity) >= best_n:
             continue
-        if nodes % 50 == 1:  # what best fit makes of the rest may be the new incumbent
+        if steps["nodes"] % 50 == 1 or not rest:  # what best fit makes of the rest may be the new incumbent
             tail = best_fit(left, capacity)
             if used + sum(n for _, n in tail) < best_n:
                 best, best_n = plan + tail, used + sum(n for _, n in tail)
-        spare = (best_n - 1) * capacity - total - waste
-        first = max(left)
-        for slack, filling in reversed(fillings(left, first, capacity, spare)):
-            whole = (first, *filling)
-            need = Counter(whole)
-            k = 1 if single else max(1, min([left[s] // n for s, n in need.items()] + ([spare // slack] if slack else [])))
-            after = {s: m for s, n in left.items() if (m := n - k * need[s])}
-            stack.append((after, [*plan, (whole, k)], used + k, waste + k * slack))
+        if rest:
+            stack.append((left, plan, used, waste, node(left, waste)))
     return best
 
 
@@ -339,7 +350,7 @@ def tokenize(docs: DataFrame, tokenizer: str, work: Scratch, capacity: int = CAP
     return work.save(rows.mapInArrow(_tokenizer(tokenizer, capacity, with_ids), _PIECES), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, node_limit: int = NODE_LIMIT) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, step_limit: int = STEP_LIMIT) -> DataFrame:
     """Pieces of ``docs`` with the sequence and the offset of each.
 
     Ranks come from counts by task and length, so that pieces of one length,
@@ -351,7 +362,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     by_task = work.save(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "by_task")
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    plan = plan_fillings(histogram, capacity, node_limit) + ([((capacity,), full)] if full else [])
+    plan = plan_fillings(histogram, capacity, step_limit) + ([((capacity,), full)] if full else [])
     slots: dict[int, list[tuple[int, int, int]]] = {}
     ranks: Counter = Counter()
     sequence = 0
@@ -364,7 +375,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
         sequence += copies
     tables = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in slots.items()})
     before = by_task.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
+    # The counts grow with the tasks times the lengths: never broadcast.
+    ranked = pieces.join(before.select("length", "task", "before").hint("merge"), ["length", "task"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
