@@ -330,14 +330,16 @@ def _reader(index: CaptureIndex, with_payload: bool):
                     handles[archive].seek(int(start))
                     data = zlib.decompress(handles[archive].read(int(length)), 31)
                     fields, http, body = parse_record(data)
-                    refers = fields.get("WARC-Refers-To")
+                    refers, digest, size = fields.get("WARC-Refers-To"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
+                    if not refers and (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()) != (size, digest):
+                        raise ValueError(f"the payload of {key} in {archive} at {start} is not that of its header")
                     rows.append(
                         (
                             urn_page_id(fields["WARC-Record-ID"]),
                             fields["WARC-Target-URI"],
                             fields["WARC-Type"],
-                            int(http["Content-Length"]),
-                            fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+                            size,
+                            digest,
                             urn_page_id(refers) if refers else None,
                             body if with_payload else None,
                             key,
@@ -361,7 +363,9 @@ def lookup(wanted: DataFrame, index: CaptureIndex, with_payload: bool = False) -
     """Records archived for each distinct (url, page_id) of ``wanted``.
 
     Keys are dealt to the index part that can hold them and sorted, so each
-    task bisects one directory at a time and reads every block once.
+    task bisects one directory at a time and reads every block once.  There are
+    as many partitions as parts of the index: the keys are few bytes, but the
+    reads that they stand for are not.
     """
     spark = wanted.sparkSession
     if not index.first_keys:
@@ -373,7 +377,7 @@ def lookup(wanted: DataFrame, index: CaptureIndex, with_payload: bool = False) -
         return keys.map(lambda k: max(0, bisect.bisect_right(firsts.value, k) - 1)).astype("int32")
 
     keys = wanted.select(_capture_key("url", F.col("page_id").cast("string")).alias("key")).distinct()
-    dealt = keys.withColumn("part", part_of("key")).repartition("part").sortWithinPartitions("part", "key")
+    dealt = keys.withColumn("part", part_of("key")).repartition(len(index.directories), "part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(_reader(index, with_payload), _RECORDS)
 
 
