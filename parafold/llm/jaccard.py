@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..scratch import Scratch
 from .components import components
+from .textsql import row_key
 from .words import byte_buffers, split_words, text_slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -43,12 +44,15 @@ _FOUND = T.StructType([T.StructField("rep", T.LongType()), T.StructField("links"
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
-    """Bands and rows of them: the most rows that give ``recall`` at ``threshold``."""
+    """Bands and rows of them: the most rows that give ``recall`` at ``threshold``.
+
+    A recall that ``most`` hashes cannot give is an error.
+    """
     for rows in range(most, 0, -1):
         bands = next((b for b in range(1, most // rows + 1) if 1 - (1 - threshold**rows) ** b >= recall), None)
         if bands:
             return bands, rows
-    return most, 1
+    raise ValueError(f"{most} hashes do not give recall {recall} at {threshold}")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,29 +82,33 @@ def gram_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> list[int]:
-    seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MULTIPLIER)
-    least = np.array([_fold(grams, s) for s in seeds], np.uint64).reshape(bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Band hashes of each set, none of which is empty: the least folded gram by seed, mixed by band."""
+    if not sets:
+        return np.zeros((0, bands), np.int64)
+    grams = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MULTIPLIER).reshape(bands, rows)
+    out = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(sets), 0)
+    x, y = np.empty_like(grams), np.empty_like(grams)
     with np.errstate(over="ignore"):
         for r in range(rows):
-            out = _mix(out * _MULTIPLIER + least[:, r])
-    return out.view(np.int64).tolist()
-
-
-def _fold(grams: np.ndarray, seed: np.uint64) -> np.uint64:
-    with np.errstate(over="ignore"):
-        x = (grams ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-        return (x ^ (x >> np.uint64(32))).min()
+            for b in range(bands):
+                np.bitwise_xor(grams, seeds[b, r], out=x)
+                np.multiply(x, np.uint64(0xFF51AFD7ED558CCD), out=x)
+                np.right_shift(x, np.uint64(32), out=y)
+                np.bitwise_xor(x, y, out=x)
+                out[:, b] = _mix(out[:, b] * _MULTIPLIER + np.minimum.reduceat(x, starts))
+    return out.view(np.int64)
 
 
 def _classes(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            digests, hashes = [], []
-            for grams in gram_sets(batch.column("text"), words):
-                digests.append(xxhash.xxh3_128_hexdigest(grams.tobytes()) if len(grams) else None)
-                hashes.append(band_hashes(grams, bands, rows) if len(grams) else [])
+            sets = gram_sets(batch.column("text"), words)
+            digests = [xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) else None for g in sets]
+            found = iter(band_hashes([g for g in sets if len(g)], bands, rows))
+            hashes = [next(found) if len(g) else [] for g in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=_CLASSES.names)
 
     return run
@@ -232,11 +240,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of the least id of each class of near copies.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Rows that repeat id and text are one document, of which one row stays.  Rows
+    of one id with different texts are documents of their own; they, and rows
+    without an id, come after all others and are ordered by a hash of the row.
+    Null and blank texts match nothing and stay.
     """
-    kept = near_copies(docs).where("doc_id = class_id").select(F.col("class_id")).distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text", row_key().alias("key"))
+    ids = rows.select("id", "key").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    shared = ids.where("n > 1 AND id IS NOT NULL").select(F.col("id").alias("shared"))
+    own = F.when(F.col("shared").isNull(), F.col("id"))
+    last = F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64("key"), 2)
+    rows = rows.join(shared, F.col("id") == F.col("shared"), "left").select("row", "text", F.coalesce(own, last).alias("doc_id"))
+    kept = near_copies(rows).where("doc_id = class_id").select("class_id").distinct()
+    left = rows.join(kept, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
