@@ -32,6 +32,8 @@ from .chunks import BLOBS, Chunk, blob_batch, by_part, deal, each_chunk, expand,
 
 #: Counts above this are not discounted.
 LARGEST = 5
+#: Tokens of the longest grams, and the most that there can be.
+ORDER, MOST_ORDER = 2, 5
 #: Chunk numbers of the rows that hold a partition's table and its sums.
 TABLE, SUMS = -1, -2
 
@@ -56,13 +58,29 @@ class Tokens:
         words = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in chunk.words], np.uint64)
         self.keys = np.insert(words[chunk.codes] if len(words) else np.zeros(0, np.uint64), chunk.at[1:], _END)
         self.at = chunk.at + np.arange(len(chunk.at))
-        self.before = np.concatenate([[_BEGIN], self.keys[:-1]])
-        self.before[self.at[:-1]] = _BEGIN
         self.trained = np.repeat(chunk.flags == 0, np.diff(self.at))
-
-    def pairs(self) -> np.ndarray:
+        place = np.arange(len(self.keys)) - np.repeat(self.at[:-1], np.diff(self.at))
+        self.before = []  # the token k + 1 places before each, or a beginning
+        for k in range(1, MOST_ORDER):
+            before = np.full(len(self.keys), _BEGIN)
+            before[k:] = self.keys[:-k]
+            before[place < k] = _BEGIN
+            self.before.append(before)
+
+    def context(self, order: int) -> np.ndarray:
+        """Keys of the ``order - 1`` tokens before each token."""
+        return self._mixed(self.before[order - 2 :: -1] if order > 1 else [])
+
+    def grams(self, order: int) -> np.ndarray:
+        return self._mixed([*(self.before[order - 2 :: -1] if order > 1 else []), self.keys])
+
+    @staticmethod
+    def _mixed(tokens: list[np.ndarray]) -> np.ndarray:
+        key = tokens[0]
         with np.errstate(over="ignore"):
-            return mix(self.before * np.uint64(0x9E3779B97F4A7C15) + mix(self.keys))
+            for t in tokens[1:]:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(t))
+        return key
 
 
 class Asked:
@@ -106,10 +124,10 @@ def _columns(table: pa.Table, *kinds) -> tuple[list[int], list[int], list[np.nda
     return table.column("chunk").to_pylist(), sizes, out
 
 
-def _ask_counts(parts: int, pairs: bool):
+def _ask_counts(parts: int, order: int):
     def ask(chunk: Chunk, _) -> pa.RecordBatch:
         tokens = Tokens(chunk)
-        asked = Asked(tokens.pairs() if pairs else tokens.keys, parts)
+        asked = Asked(tokens.grams(order), parts)
         counts = np.bincount(asked.inverse, tokens.trained, len(asked.keys)).astype(np.int64)
         return blob_batch(asked.rows(chunk.number, counts))
 
@@ -183,15 +201,32 @@ class Unigrams:
         return (counts + 1.0) / (self.total + self.distinct + 1)
 
 
-def _ask_contexts(parts: int, unigrams: Unigrams, ratios: np.ndarray):
+class Recursion:
+    """Probabilities of the tokens of a chunk, from the answers about grams and contexts of each order."""
+
+    def __init__(self, tokens: Tokens, answers: list[dict[int, bytes]], parts: int, unigrams: Unigrams, ratios: list[np.ndarray]):
+        single = Asked(tokens.keys, parts)
+        self.counts = single.read(answers[0], np.int64, np.int8)[0][single.inverse]
+        self.p = unigrams.p(self.counts)
+        for order in range(2, len(answers) // 2 + 2):
+            grams, contexts = Asked(tokens.grams(order), parts), Asked(tokens.context(order), parts)
+            counts = grams.read(answers[2 * order - 3], np.int64, np.int8)[0][grams.inverse]
+            if 2 * order - 2 == len(answers):  # its contexts are still to be asked about
+                break
+            below, weight = (x[contexts.inverse] for x in contexts.read(answers[2 * order - 2], np.float64, np.float64))
+            seen, known = discounted(counts, ratios[order - 2]) / np.maximum(below, 1), below > 0
+            self.p = np.where(counts > 0, seen, np.where(known, weight, 1.0) * self.p)
+
+
+def _ask_contexts(parts: int, order: int, unigrams: Unigrams, ratios: list[np.ndarray]):
     def ask(chunk: Chunk, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
         tokens = Tokens(chunk)
-        single, pairs, contexts = Asked(tokens.keys, parts), Asked(tokens.pairs(), parts), Asked(tokens.before, parts)
-        p = unigrams.p(single.read(answers[0], np.int64, np.int8)[0])
-        counts, owner = pairs.read(answers[1], np.int64, np.int8)
+        lower = Recursion(tokens, answers, parts, unigrams, ratios).p
+        grams, contexts = Asked(tokens.grams(order), parts), Asked(tokens.context(order), parts)
+        counts, owner = grams.read(answers[-1], np.int64, np.int8)
         own = (owner == 1) & (counts > 0)
-        context = contexts.inverse[pairs.first[own]]
-        sums = [np.bincount(context, x, len(contexts.keys)) for x in (counts[own], discounted(counts[own], ratios), p[single.inverse[pairs.first[own]]])]
+        first = grams.first[own]
+        sums = [np.bincount(contexts.inverse[first], x, len(contexts.keys)) for x in (counts[own], discounted(counts[own], ratios[order - 2]), lower[first])]
         return blob_batch(contexts.rows(chunk.number, *sums))
 
     return each_chunk(ask)
@@ -213,17 +248,12 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([blob_batch(rows)])
 
 
-def _score(parts: int, unigrams: Unigrams, ratios: np.ndarray):
+def _score(parts: int, unigrams: Unigrams, ratios: list[np.ndarray]):
     def score(chunk: Chunk, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
         tokens = Tokens(chunk)
-        single, pairs, contexts = Asked(tokens.keys, parts), Asked(tokens.pairs(), parts), Asked(tokens.before, parts)
-        one = single.read(answers[0], np.int64, np.int8)[0]
-        two = pairs.read(answers[1], np.int64, np.int8)[0]
-        below, weight = (x[contexts.inverse[pairs.first]] for x in contexts.read(answers[2], np.float64, np.float64))
-        lower = unigrams.p(one)[single.inverse[pairs.first]]
-        p = np.where(two > 0, discounted(two, ratios) / np.maximum(below, 1), np.where(below > 0, weight, 1.0) * lower)
-        total = [np.concatenate([[0.0], np.cumsum(np.log10(x)[y.inverse])]) for x, y in ((p, pairs), (unigrams.base(one), single))]
-        known = np.concatenate([[0], np.cumsum((one > 0)[single.inverse])])
+        found = Recursion(tokens, answers, parts, unigrams, ratios)
+        total = [np.concatenate([[0.0], np.cumsum(np.log10(x))]) for x in (found.p, unigrams.base(found.counts))]
+        known = np.concatenate([[0], np.cumsum(found.counts > 0)])
         a, b = tokens.at[:-1], tokens.at[1:]
         columns = [pa.array(chunk.ids, pa.int64(), mask=~chunk.has_id), pa.array(chunk.flags.astype(np.int32)), pa.array(b - a), pa.array(known[b] - known[a]), pa.array(total[1][b] - total[1][a]), pa.array(total[0][b] - total[0][a])]
         return pa.RecordBatch.from_arrays(columns, names=_SCORES.names)
@@ -231,23 +261,30 @@ def _score(parts: int, unigrams: Unigrams, ratios: np.ndarray):
     return each_chunk(score)
 
 
-def score_by_katz(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Train on the rows that are not ``held_out`` and score all.
+def score_by_katz(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
+    """Train on the rows that are not ``held_out`` and score all, by grams of ``order`` tokens at most.
 
     Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score, both log10 of the whole text.
     """
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"order {order} is not between 1 and {MOST_ORDER}")
     work = Scratch(docs.sparkSession, "katz")
     chunks, parts = write_chunks(docs, work, F.coalesce(held_out, F.lit(False)).cast("int"))
-    one = save_chunkwise(work, by_part(chunks.mapInArrow(_ask_counts(parts, False), BLOBS), _answer_counts), "unigrams")
-    two = save_chunkwise(work, by_part(chunks.mapInArrow(_ask_counts(parts, True), BLOBS), _answer_counts), "bigrams")
+
+    def counted(k: int) -> DataFrame:
+        return save_chunkwise(work, by_part(chunks.mapInArrow(_ask_counts(parts, k), BLOBS), _answer_counts), f"grams_{k}")
+
+    one = counted(1)
     total, distinct, *of = _sums(one).tolist()
-    unigrams = Unigrams(total, distinct, np.array(of))
-    ratios = discounts(_sums(two)[2:])
-    ones, twos = one.where("chunk >= 0"), two.where("chunk >= 0")
-    asked = with_answers(chunks, ones, twos).mapInArrow(_ask_contexts(parts, unigrams, ratios), BLOBS)
-    contexts = save_chunkwise(work, by_part(asked, _answer_contexts), "contexts")
-    scored = with_answers(chunks, ones, twos, contexts.where("chunk >= 0")).mapInArrow(_score(parts, unigrams, ratios), _SCORES)
+    unigrams, ratios, answers = Unigrams(total, distinct, np.array(of)), [], [one.where("chunk >= 0")]
+    for k in range(2, order + 1):
+        grams = counted(k)
+        ratios.append(discounts(_sums(grams)[2:]))
+        answers.append(grams.where("chunk >= 0"))
+        asked = with_answers(chunks, *answers).mapInArrow(_ask_contexts(parts, k, unigrams, ratios), BLOBS)
+        answers.append(save_chunkwise(work, by_part(asked, _answer_contexts), f"contexts_{k}").where("chunk >= 0"))
+    scored = with_answers(chunks, *answers).mapInArrow(_score(parts, unigrams, ratios), _SCORES)
     scored = save_chunkwise(work, scored, "scores")
     work.drop("chunks")
     return scored.select("doc_id", (F.col("flag") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

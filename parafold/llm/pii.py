@@ -7,8 +7,10 @@ votes occurs is counted over all candidates; there are at most 3**6 for each
 kind.  Expectation-maximisation over these counts estimates each labeler's
 reliability and each combination's probability.  A naive Bayes classifier of
 features of the span and what is beside it is then trained on those
-probabilities, over all candidates, and decides on the candidates that the base
-does not have.  Base spans always stay.
+probabilities, over all candidates of its kind, and decides on the candidates
+that the base does not have.  One that the check of its kind refuses (parts of an
+address, Luhn, number of digits) is only learned from, never added.  Base spans
+always stay.
 
 Kinds: email, ip, card, phone; spans are in code points, end exclusive.
 
@@ -32,8 +34,8 @@ from .textsql import let
 KINDS = ("email", "ip", "card", "phone")
 #: Probability from which the classifier adds a span.
 THRESHOLD = 0.9
-#: Rounds of expectation-maximisation.
-ROUNDS = 50
+#: Expectation-maximisation ends when no probability moves by more than ``STILL``, or after ``ROUNDS``.
+ROUNDS, STILL = 500, 1e-7
 #: Code points on each side that context labelers see.
 CONTEXT = 32
 
@@ -138,13 +140,13 @@ def _features(kind: str, base: bool) -> list[str]:
 def candidates_sql(kind: str, base: bool, text: str = "text") -> str:
     pattern = (BASE if base else LOOSE)[kind]
     passes = _passes(kind) if base else "false"
-    one = f"named_struct('kind', {KINDS.index(kind)}, 'start', x.start, 'stop', x.start + length(x.m), 'base', {passes}, 'votes', concat_ws(',', {', '.join(f'cast({v} as string)' for v in _votes(kind, base))}), 'features', array({', '.join(_features(kind, base))}))"
+    one = f"named_struct('kind', {KINDS.index(kind)}, 'start', x.start, 'stop', x.start + length(x.m), 'base', {passes}, 'passes', {_passes(kind)}, 'votes', concat_ws(',', {', '.join(f'cast({v} as string)' for v in _votes(kind, base))}), 'features', array({', '.join(_features(kind, base))}))"
     return f"transform({matches_sql(text, pattern)}, x -> {one})"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, found): all candidates of each row's text, by kind and start."""
-    empty = "cast(array() as array<struct<kind:int,start:int,stop:int,base:boolean,votes:string,features:array<string>>>)"
+    empty = "cast(array() as array<struct<kind:int,start:int,stop:int,base:boolean,passes:boolean,votes:string,features:array<string>>>)"
     each = [f"if(text rlike {_quote(NEEDED[k])}, {candidates_sql(k, base)}, {empty})" for k in KINDS for base in (True, False)]
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.expr(f"concat({', '.join(each)})").alias("found"))
 
@@ -173,19 +175,21 @@ def estimate(counts: dict[tuple[int, str], int], rounds: int = ROUNDS) -> dict[t
                         sums[0][1 - votes[i]] += q * n
                         sums[1][1 - votes[i]] += (1 - q) * n
                 rates.append([s[0] / sum(s) for s in sums])
-            p = []
+            before, p = p, []
             for votes, _, _ in rows:
                 odds = math.log(share / (1 - share))
                 for v, (yes, no) in zip(votes, rates, strict=True):
                     if v >= 0:
                         odds += math.log(yes / no) if v else math.log((1 - yes) / (1 - no))
                 p.append(1 / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
+            if max(abs(x - y) for x, y in zip(before, p, strict=True)) < STILL:
+                break
         out |= {key: q for q, (_, _, key) in zip(p, rows, strict=True)}
     return out
 
 
 def train(found: DataFrame) -> str:
-    """SQL of the classifier's log odds of a candidate ``c``.
+    """SQL of the log odds of a candidate ``c``, by the classifier of its kind.
 
     What is collected has a bound: combinations of votes of a kind, and values
     of eight features of a few dozen values each.
@@ -196,15 +200,20 @@ def train(found: DataFrame) -> str:
         return "-99D"
     p = estimate(counts)
     known = F.expr("map(" + ", ".join(f"'{k}:{v}', {q!r}D" for (k, v), q in sorted(p.items())) + ")")
-    weighted = spans.select(F.posexplode("features").alias("f", "value"), known[F.concat_ws(":", "kind", "votes")].alias("p"))
-    sums = weighted.groupBy("f", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
-    all_yes, all_no = (sum(q * counts[k] for k, q in p.items()), sum((1 - q) * counts[k] for k, q in p.items()))
-    of: dict[int, list[str]] = defaultdict(list)
-    for r in sorted(sums, key=lambda r: (r.f, r.value)):
-        odds = math.log((r.yes + 0.5) / (all_yes + 1)) - math.log((r.no + 0.5) / (all_no + 1))
-        of[r.f] += [_quote(r.value), f"{round(odds, 9)!r}D"]
-    prior = math.log((all_yes + 1) / (all_no + 1))
-    return " + ".join([f"{round(prior, 9)!r}D", *(f"coalesce(element_at(map({', '.join(of[f])}), c.features[{f}]), 0D)" for f in sorted(of))])
+    weighted = spans.select("kind", F.posexplode("features").alias("f", "value"), known[F.concat_ws(":", "kind", "votes")].alias("p"))
+    sums = weighted.groupBy("kind", "f", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
+    total = {k: [sum((q, 1 - q)[i] * counts[key] for key, q in p.items() if key[0] == k) for i in (0, 1)] for k in range(len(KINDS))}
+    of: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for r in sorted(sums, key=lambda r: (r.kind, r.f, r.value)):
+        yes, no = total[r.kind]
+        odds = math.log((r.yes + 0.5) / (yes + 1)) - math.log((r.no + 0.5) / (no + 1))
+        of[r.kind, r.f] += [_quote(r.value), f"{round(odds, 9)!r}D"]
+    each = []
+    for kind in sorted({k for k, _ in of}):
+        prior = math.log((total[kind][0] + 1) / (total[kind][1] + 1))
+        parts = [f"{round(prior, 9)!r}D", *(f"coalesce(element_at(map({', '.join(v)}), c.features[{f}]), 0D)" for (k, f), v in of.items() if k == kind)]
+        each.append(f"when c.kind = {kind} then {' + '.join(parts)}")
+    return f"(case {' '.join(each)} else -99D end)"
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,7 +224,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     work = Scratch(docs.sparkSession, "pii")
     found = work.save(candidates(docs), "found")
     odds = train(found)
-    added = f"filter(found, c -> not c.base and {odds} >= {math.log(threshold / (1 - threshold))!r}D)"
+    added = f"filter(found, c -> not c.base and c.passes and {odds} >= {math.log(threshold / (1 - threshold))!r}D)"
     plain = "transform({}, c -> named_struct('kind', c.kind, 'start', c.start, 'stop', c.stop, 'base', c.base))"
     split_up = found.select("doc_id", F.expr(plain.format("filter(found, c -> c.base)")).alias("sure"), F.expr(plain.format(added)).alias("added"))
     # Of added spans in order, those that overlap nothing that is taken.

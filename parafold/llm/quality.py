@@ -249,7 +249,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
-    """Rules from at most ``sample_rows`` labelled rows, taken by hash of the id."""
+    """Rules from at most ``sample_rows`` labelled rows, those of the least hashes of the id."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     if total > sample_rows:
@@ -261,6 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .select("doc_id", "quality", text_stats("text").alias("s"))
         .select("doc_id", "quality", "s.*")
         .select("doc_id", "quality", *[F.expr(f"double({sql})").alias(name) for name, sql in FEATURES.items()])
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES)
         .limit(sample_rows)
         .toPandas()
         .sort_values("doc_id", kind="stable")

@@ -23,13 +23,14 @@ score is 0.  Repeated rows are scored one by one; a null id is never trained on.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,8 @@ from .words import array_slices, byte_buffers, split_words, text_slices
 SAMPLE_ROWS = 4_000
 #: Signs of the longest context, and of the pieces that longer words are cut in.
 ORDER, PIECE = 5, 40
-DISCOUNT = 0.9
+#: Words whose differences a Python worker remembers before it begins anew.
+CACHE_WORDS = 400_000
 #: Words of a passage.
 PASSAGE = 4
 #: Differences above this are evidence of their own.
@@ -51,8 +53,8 @@ CLIP = 8.0
 THRESHOLD = 0.7
 
 _COUNTS = T.StructType([T.StructField("word", T.StringType()), *[T.StructField(f"n{i}", T.LongType()) for i in range(4)]])
-#: Counts of toxic and ordinary documents: of the first fold, the second, and both.
-_FITS = ("n0", "n1"), ("n2", "n3"), ("n4", "n5")
+#: Counts of toxic and ordinary documents: of the first fold, and of both.
+_FITS = ("n0", "n1"), ("n2", "n3")
 _KEYED = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", *sum(_FITS, ()))])
 _PLAIN = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +86,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
         pairs = np.unique(np.repeat(np.arange(len(kind)), np.diff(at)) * max(1, len(words)) + codes)
         doc, word = pairs // max(1, len(words)), pairs % max(1, len(words))
-        counts = [np.bincount(word[kind[doc] == i], minlength=len(words)) for i in range(4)]
+        of = [np.bincount(word[kind[doc] == i], minlength=len(words)) for i in range(4)]
+        counts = [of[0], of[1], of[0] + of[2], of[1] + of[3]]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=_COUNTS.names)
 
 
@@ -135,34 +138,55 @@ class _Table:
     @staticmethod
     def sums(keys: np.ndarray, values: np.ndarray) -> _Table:
         distinct, inverse = np.unique(keys, return_inverse=True)
-        return _Table(distinct, np.column_stack([np.bincount(inverse, v, len(distinct)) for v in values.T]))
+        return _Table(distinct, np.column_stack([np.bincount(inverse, v, len(distinct)) for v in values.T]).astype(np.float32))
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Rows for ``keys``; zeros for those that are missing."""
         if not len(self.keys):
-            return np.zeros((len(keys), self.values.shape[1]))
+            return np.zeros((len(keys), self.values.shape[1]), np.float32)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys)[:, None], self.values[at], 0)
 
 
+def discount(counts: np.ndarray) -> float:
+    """What absolute discounting takes from each count: n1 / (n1 + 2 n2), from counts of counts."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+
 @dataclass
 class ToxicityModel:
     """Counts (toxic, ordinary) of grams and contexts by level; logistic weights."""
 
     grams: list[_Table]
     contexts: list[_Table]  # counts and discounted counts, each of both classes
+    discounts: np.ndarray  # by level and class
     weights: np.ndarray  # constant, whole text, passage, strong words
 
     @staticmethod
     def of(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> ToxicityModel:
         """From keys of grams and contexts, and counts of grams, of each level."""
-        grams, contexts = [], []
+        grams, contexts, discounts = [], [], []
         for gram, context, n in levels:
             some = n.any(1)
-            gram, context, n = gram[some], context[some], n[some]
+            gram, context, n = gram[some], context[some], n[some].astype(np.float32)
+            d = np.array([discount(c) for c in n.T], np.float32)
             grams.append(_Table.sums(gram, n))
-            contexts.append(_Table.sums(context, np.column_stack([n, np.maximum(n - DISCOUNT, 0)])))
-        return ToxicityModel(grams, contexts, np.zeros(4))
+            contexts.append(_Table.sums(context, np.column_stack([n, np.maximum(n - d, 0)])))
+            discounts.append(d)
+        return ToxicityModel(grams, contexts, np.array(discounts), np.zeros(4))
+
+    @staticmethod
+    def step(n: np.ndarray, c: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Probabilities of both classes at one level from those of the level below.
+
+        Discounted counts of the class have the share that the class with the
+        fewest known continuations can give; the rest is the level below.
+        """
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(c[:, :2] > 0, (c[:, :2] - c[:, 2:]) / c[:, :2], 1.0).max(1)[:, None]
+            own = np.where(c[:, 2:] > 0, np.maximum(n - d, 0) / c[:, 2:], lower)
+        return (1 - rest) * own + rest * lower
 
     def differences(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word by the toxic model less the ordinary."""
@@ -171,34 +195,52 @@ class ToxicityModel:
         for level in range(ORDER + 1):
             at, gram, context = spelling.keys(level)
             n, c = self.grams[level].get(gram), self.contexts[level].get(context)
-            if level == 0:  # shared by the classes
-                p[at] = ((n.sum(1) + 1) / (c[:, :2].sum(1) + 1000))[:, None]
+            if level == 0:  # shared by the classes; one sign more than are known
+                p[at] = ((n.sum(1) + 1) / (c[:, :2].sum(1) + len(self.grams[0].keys) + 1))[:, None]
                 continue
-            known = (c[:, 2:] > 0).all(1)
-            at, n, c = at[known], n[known], c[known]
-            lower = np.max((c[:, :2] - c[:, 2:]) / c[:, :2], axis=1)[:, None]
-            p[at] = (1 - lower) * np.maximum(n - DISCOUNT, 0) / c[:, 2:] + lower * p[at]
+            p[at] = self.step(n, c, p[at], self.discounts[level])
         ratio = np.log(p[spelling.some, 0]) - np.log(p[spelling.some, 1])
         return np.clip(np.bincount(spelling.word[spelling.some], ratio, len(words)), -CLIP, CLIP)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Mean difference of each text, of its most toxic passage, and beyond ``STRONG``."""
-        words, codes, at = plain_words(texts)
+        words, at = split_words(*byte_buffers(texts))
         out = np.zeros((len(texts), 3))
-        if not len(codes):
+        coded = words.dictionary_encode()
+        value = self._known(coded.dictionary.to_pylist()) if len(coded.dictionary) else np.zeros(0)
+        each = value[coded.indices.to_numpy(zero_copy_only=False)]
+        kept = ~np.isnan(each)
+        each, at = each[kept], np.concatenate([[0], np.cumsum(kept)])[at]
+        if not len(each):
             return out
-        each = self.differences(words)[codes]
         total = np.concatenate([[0.0], np.cumsum(each)])
         strong = np.concatenate([[0.0], np.cumsum(np.maximum(each - STRONG, 0))])
         n = np.diff(at)
         out[:, 0] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
         out[:, 2] = (strong[at[1:]] - strong[at[:-1]]) / np.maximum(n, 1)
-        begin = np.arange(len(codes))
+        begin = np.arange(len(each))
         passage = (total[np.minimum(begin + PASSAGE, np.repeat(at[1:], n))] - total[begin]) / PASSAGE
         some = n > 0
         out[some, 1] = np.maximum.reduceat(passage, at[:-1][some])
         return out
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Differences of raw words, by their plain forms; NaN for those that have none."""
+        known = self.__dict__.setdefault("cache", {})
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        found = [known.get(w) for w in words]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            plain = {w: _PLAIN.sub("", w.lower()) for w in (words[i] for i in new)}
+            forms = list(dict.fromkeys(filter(None, plain.values())))
+            value = dict(zip(forms, self.differences(forms).tolist() if forms else [], strict=True))
+            value[""] = math.nan
+            known.update((w, value[x]) for w, x in plain.items())
+            for i in new:
+                found[i] = known[words[i]]
+        return np.array(found, float)
+
     def score(self, texts: pa.Array) -> np.ndarray:
         return _logistic(_design(self.evidence(texts)) @ self.weights)
 
@@ -225,14 +267,14 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def gram_counts(words: DataFrame, work: Scratch) -> list[DataFrame]:
-    """(g, n0 to n5) by level: the grams of all words, with counts of ``_FITS``.
+    """(g, n0 to n3) by level: the grams of all words, with counts of ``_FITS``.
 
     A sign counts at the level of its longest context; at each lower level it
     counts once for each kind of the grams that are longer by a sign.
     """
     names = _KEYED.names[2:]
     piece = F.explode(F.expr(f"transform(sequence(0, length(word) - 1, {PIECE}), k -> concat('^', substring(word, k + 1, {PIECE}), '^'))"))
-    pieces = words.select(piece.alias("p"), "n0", "n1", "n2", "n3", (F.col("n0") + F.col("n2")).alias("n4"), (F.col("n1") + F.col("n3")).alias("n5"))
+    pieces = words.select(piece.alias("p"), *names)
     longest = F.explode(F.expr(f"transform(sequence(1, length(p) - 1), i -> substring(p, greatest(i - {ORDER}, 0) + 1, least(i, {ORDER}) + 1))"))
     sums = [F.sum(c).alias(c) for c in names]
     own = work.save(pieces.select(longest.alias("g"), *names).groupBy("g").agg(*sums), "grams")
@@ -246,20 +288,23 @@ def gram_counts(words: DataFrame, work: Scratch) -> list[DataFrame]:
     return levels[::-1]
 
 
-def _collect(levels: list[DataFrame]) -> list[ToxicityModel]:
-    """The models of ``_FITS``."""
+def _model(levels: list[DataFrame], fit: tuple[str, str]) -> ToxicityModel:
+    """The model of the two counts ``fit``; the tables are bounded by the sample."""
     found = []
     for rows in levels:
-        table = rows.mapInArrow(_keys_of_grams, _KEYED).toArrow()
-        found.append({c: table.column(c).to_numpy() for c in table.column_names})
-    keys = [(t["gram"].view(np.uint64), t["context"].view(np.uint64)) for t in found]
-    return [ToxicityModel.of([(*k, np.column_stack([t[c].astype(float) for c in fit])) for k, t in zip(keys, found, strict=True)]) for fit in _FITS]
+        table = rows.where(" OR ".join(f"{c} > 0" for c in fit)).mapInArrow(_keys_of_grams, _KEYED).select("gram", "context", *fit).toArrow()
+        keys = [table.column(c).to_numpy().view(np.uint64) for c in ("gram", "context")]
+        found.append((*keys, np.column_stack([table.column(c).to_numpy().astype(np.float32) for c in fit])))
+        del table
+    return ToxicityModel.of(found)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
     """Models from at most ``sample_rows`` labelled documents of each kind.
 
     ``kind`` is twice the fold plus the class: 0 and 2 toxic, 1 and 3 ordinary.
+    The second fold, a third of the sample, is left out of the counts that the
+    logistic weights are fitted on.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "toxicity")
@@ -270,28 +315,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = {k: 0.95 * sample_rows / n if n > sample_rows else 1.0 for k, n in sizes.items()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     known = known.where(place < F.when(F.col("toxic") == 1, share[True]).otherwise(share[False]))
-    kind = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) * 2 + F.when(F.col("toxic") == 1, 0).otherwise(1)
+    kind = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).cast("int") * 2 + F.when(F.col("toxic") == 1, 0).otherwise(1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", kind.alias("kind"))
     rows = work.save(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.min("kind").alias("kind")).select("text", "kind"), "sample")
     counts = [f"n{i}" for i in range(4)]
     found = rows.mapInArrow(_count, _COUNTS).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
-    first, second, model = _collect(gram_counts(found, work))
-    # The logistic weights, from documents that the counts leave out.
-    x, y = [], []
-    for fold, part in enumerate((second, first)):
-        own = rows.where(F.col("kind").isin(2 * fold, 2 * fold + 1)).select("kind", _evidence(rows, part).alias("e")).select("kind", "e.*").toPandas()
-        x.append(own[["mean", "passage", "strong"]].to_numpy(float))
-        y.append((own["kind"] % 2 == 0).to_numpy(float))
-    model.weights = _fit(_design(np.concatenate(x)), np.concatenate(y))
+    levels = gram_counts(found, work)
+    # The logistic weights, from the documents of the other fold.
+    shared = spark.sparkContext.broadcast(_model(levels, _FITS[0]))
+    own = rows.where(F.col("kind") >= 2).select("kind", _evidence(shared).alias("e")).select("kind", "e.*").toPandas()
+    shared.destroy()
+    model = _model(levels, _FITS[1])
+    if own["kind"].nunique() == 2:
+        model.weights = _fit(_design(own[["mean", "passage", "strong"]].to_numpy(float)), (own["kind"] == 2).to_numpy(float))
     # The sample has other shares of the two kinds than the labels have.
     model.weights[0] -= np.log(share[True] / share[False])
     work.drop("sample", "grams", *[f"grams_{level}" for level in range(ORDER + 1)])
     return model
 
 
-def _evidence(docs: DataFrame, model: ToxicityModel) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+def _evidence(shared: Broadcast) -> Column:
     @F.arrow_udf("mean double, passage double, strong double")
     def evidence(texts: pa.Array) -> pa.Array:
         got = np.concatenate([shared.value.evidence(t) for t in array_slices(texts)] or [np.zeros((0, 3))])

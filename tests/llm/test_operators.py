@@ -9,8 +9,10 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parafold.llm import decontamination, jaccard, katz, lines, packing, pii, quality, substrings, toxicity, warc
+from parafold.scratch import Scratch
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,9 +191,27 @@ def _normal(line):
     return " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if w)
 
 
-def _print(norm):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(norm.split(" "))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def _keys(norm):
+    """Keys of a line: from each block on, blocks that hold enough longer words."""
+    words = list(dict.fromkeys(norm.split(" ")))
+    longer = [w for w in words if len(w) >= lines.LETTERS]
+    words = longer if len(longer) >= lines.FEW_WORDS else words
+    blocks = [[] for _ in range(lines.BLOCKS)]
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        blocks[(h >> 58) * lines.BLOCKS >> 6].append(h)
+    bits = [sum(1 << b for b in lines.VOTES if 2 * sum(h >> b & 1 for h in own) > len(own)) for own in blocks]
+    sizes = list(map(len, blocks))
+    need = min(lines.LEAST_WORDS, max(2, sum(sizes) - 1))
+    keys = set()
+    for i in range(lines.BLOCKS):
+        for span in (*lines.SPANS, lines.BLOCKS):
+            own = [(i + k) % lines.BLOCKS for k in range(span)]
+            held = sum(sizes[b] for b in own)
+            if held >= need or span == lines.BLOCKS:
+                keys.add((i, span, held, *(bits[b] for b in own)))
+                break
+    return keys
 
 
 def _edits(a, b):
@@ -209,14 +229,14 @@ def _edits(a, b):
 
 
 def removed_lines(texts):
-    """(doc_id, n_removed) by comparing all pairs of lines."""
+    """(doc_id, n_removed) by comparing all pairs of lines that share a key."""
     where = defaultdict(list)
     for d, t in texts.items():
         for i, line in enumerate(t.split("\n")):
             if n := _normal(line):
                 where[n].append((d, i))
     first = {n: min(w) for n, w in where.items()}
-    prints = {n: _print(n) for n in where}
+    keys = {n: _keys(n) for n in where}
     root = {n: n for n in where}
 
     def find(x):
@@ -227,7 +247,7 @@ def removed_lines(texts):
     names = list(where)
     for i, a in enumerate(names):
         for b in names[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and _edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            if keys[a] & keys[b] and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and _edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
                 x, y = sorted((find(a), find(b)), key=lambda n: first[n])
                 root[y] = x
     stays = {}
@@ -245,30 +265,51 @@ def test_line_dedup(spark, texts):
     assert {r.doc_id: r.n_removed for r in rows} == {d: want[d] for d in texts}
 
 
+def test_line_dedup_recall(spark):
+    """Of all pairs of lines that are alike by edit similarity alone, nine in ten are in one group; no group has others."""
+    con = duckdb.connect()
+    con.execute(rf"""CREATE TABLE l AS SELECT DISTINCT trim(n) AS n FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), chr(10))) AS n FROM '{DIR}/documents.parquet')
+        WHERE trim(n) != '' AND length(n) <= 500""")
+    pairs = con.execute("""SELECT a.n, b.n FROM l a JOIN l b ON length(b.n) BETWEEN length(a.n) AND 1.25 * length(a.n) AND (length(a.n) < length(b.n) OR a.n < b.n)
+        WHERE levenshtein(a.n, b.n) <= 0.2 * length(b.n) + 1e-9""").fetchall()
+    classes = spark.createDataFrame([(n,) for (n,) in con.execute("SELECT n FROM l").fetchall()], "norm string").selectExpr("xxhash64(norm) AS k1", "xxhash64('line', norm) AS k2", "norm")
+    roots = lines.linked_classes(classes, Scratch(spark, "test"))
+    root = {r.norm: r.root for r in classes.join(roots, F.struct("k1", "k2") == roots["node"]).collect()}
+    assert len(pairs) > 20 and sum(a in root and root[a] == root.get(b) for a, b in pairs) >= 0.9 * len(pairs)
+    known = defaultdict(set)
+    for a, b in pairs:
+        known[a].add(b), known[b].add(a)
+    assert all(any(root.get(b) == r for b in known[a]) for a, r in root.items())
+
+
 def test_line_dedup_of_many_near_lines(spark):
-    """More classes in a bucket than a part of a tile holds."""
+    """Large buckets, with groups that only some of their members connect."""
     base = [f"word{i}" for i in range(60)]
     docs = {i: " ".join([*base[:i], f"other{i}", *base[i + 1 :]]) + "\nsame line here" for i in range(12)} | {100 + i: " ".join([*base, f"end{i}"]) for i in range(150)}
+    # Lines with the same words at one end that are not alike otherwise.
+    docs |= {300 + 2 * i + k: " ".join([*base[:12], *(f"x{i}y{j}" for j in range(25)), f"last{k}"]) for i in range(20) for k in range(2)}
     want = removed_lines(docs)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r.doc_id: r.lines.n_removed for r in lines.with_kept_text(frame).collect()} == {d: want[d] for d in docs}
+    got = {r.row.doc_id: r.lines.n_removed for r in lines.kept_lines(frame).collect()}
+    assert got == {d: want[d] for d in docs} and sum(want.values()) > 150
 
 
-def test_line_dedup_long_line(spark):
-    """Prints of lines with more words than the packed counters take."""
-    words = [f"w{i}" for i in range(lines.LONG_LINE + 50)]
-    table = lines.line_table(spark.createDataFrame([(1, " ".join(words)), (2, "a b c")], "doc_id long, text string"))
-    got = {r["at"].doc: r["print"] % (1 << 64) for r in lines.line_prints(table).collect()}
-    assert got == {1: _print(" ".join(words)), 2: _print("a b c")}
+def test_line_dedup_keys(spark):
+    """Keys of lines of each width of counters: common ones are those of the plain form."""
+    rows = [" ".join(f"w{i * (k + 1)}long" for i in range(n)) for n in (1, 3, 9, 60, 63, 64, 900, 17000) for k in (0, 0.5)]
+    rows = list(dict.fromkeys(r.replace(".0", "") for r in rows)) + [" ".join(["w0long", "the", *(f"w{i}long" for i in range(2, 9))])]
+    table = spark.createDataFrame(list(enumerate(rows)), "k1 long, norm string")
+    got = {r.k1: set(r["keys"]) for r in lines.class_keys(table).collect()}
+    plain = [_keys(r) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i + 1):
+            assert len(got[i] & got[j]) == len(plain[i] & plain[j])
 
 
 def test_line_dedup_repeated_rows(spark):
-    """Counters of a print do not add up over rows that repeat id and text."""
-    text = " ".join(f"w{i}" for i in range(100))
-    docs = spark.createDataFrame([(1, text)] * 700, "doc_id long, text string")
-    assert {r["print"] % (1 << 64) for r in lines.line_prints(lines.line_table(docs)).collect()} == {_print(text)}
-    near = docs.union(spark.createDataFrame([(2, text + " w0")], "doc_id long, text string"))
-    assert {(r.doc_id, r.lines.n_removed) for r in lines.with_kept_text(near).collect()} == {(1, 0), (2, 1)}
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100)))] * 700, "doc_id long, text string")
+    near = docs.selectExpr("doc_id + 1 AS doc_id", "concat(text, ' w0') AS text").limit(1).union(docs)
+    assert {(r.row.doc_id, r.lines.n_removed) for r in lines.kept_lines(near).collect()} == {(1, 0), (2, 1)}
 
 
 def test_decontamination(spark, texts):
