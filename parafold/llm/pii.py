@@ -7,10 +7,10 @@ votes occurs is counted over all candidates; there are at most 3**6 for each
 kind.  Expectation-maximisation over these counts estimates each labeler's
 reliability and each combination's probability.  A naive Bayes classifier of
 features of the span and what is beside it is then trained on those
-probabilities, over all candidates of its kind, and decides on the candidates
-that the base does not have.  One that the check of its kind refuses (parts of an
-address, Luhn, number of digits) is only learned from, never added.  Base spans
-always stay.
+probabilities, over all candidates of its kind that pass its check (parts of an
+address, Luhn, number of digits), and decides on those that the base does not
+have.  What the check refuses tells of the labelers, but is never added.  Base
+spans always stay.
 
 Kinds: email, ip, card, phone; spans are in code points, end exclusive.
 
@@ -108,13 +108,13 @@ def _votes(kind: str, base: bool) -> list[str]:
     digits = "regexp_replace(x.m, '[^0-9]', '')"
     shape = {
         "email": _vote("x.m rlike '(?i)\\\\.[a-z]{2,24}$'", "x.m rlike '[0-9]$'"),
-        "ip": _vote("x.m rlike '^[1-9][0-9]{0,2}\\\\.[0-9]{1,3}\\\\.[0-9]{1,3}\\\\.[0-9]{1,3}$'", "x.m rlike '(^|[^0-9])0[0-9]'"),
+        "ip": _vote("x.m rlike '^[1-9][0-9]{0,2}(?:[^0-9]+[0-9]{1,3}){3}$'", "x.m rlike '(^|[^0-9])0[0-9]'"),
         "card": _vote("x.m rlike '^[0-9]{4}([ -]?)[0-9]{4}\\\\1[0-9]{4}\\\\1[0-9]{4}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$'", f"length({digits}) not between 13 and 19"),
         "phone": _vote("x.m rlike '^(?:[+]|00)[1-9][0-9]{0,2}[ .-]?[(]?[0-9]{2,4}[)]?(?:[ .-][0-9]{2,4}){2,3}$|^[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}$'", f"length({digits}) not between 9 and 15"),
     }[kind]
     listed = {
         "email": _vote(f"x.m rlike {_quote('(?i)[. \\])}](?:' + '|'.join(ENDINGS.split()) + ')$')}", "x.m rlike '(?i)example[.]|localhost|noreply'"),
-        "ip": _vote("x.m rlike '^(?:10|172|192)[.]'", "x.m rlike '^(?:0|127|255)[^0-9]'"),
+        "ip": _vote("x.m rlike '^(?:10|172|192)[^0-9]'", "x.m rlike '^(?:0|127|255)[^0-9]'"),
         "card": _vote("x.m rlike '^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)'", "x.m rlike '^[0179]'"),
         "phone": _vote("x.m rlike '^(?:[+]|00)(?:1|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1-6]|9[0-8])'", f"{digits} rlike '^(.)\\\\1+$'"),
     }[kind]
@@ -156,17 +156,20 @@ def estimate(counts: dict[tuple[int, str], int], rounds: int = ROUNDS) -> dict[t
 
     Each kind has a share of true candidates and each labeler a rate of votes
     for among true and among false ones; abstaining tells nothing.  It begins
-    with the share of votes for.
+    with the share of votes for.  What the first labeler, the check of the kind,
+    refuses is false for certain: it tells of the rates, not of the share.
     """
     out = {}
     for kind in range(len(KINDS)):
         rows = [([int(v) for v in votes.split(",")], n, (k, votes)) for (k, votes), n in sorted(counts.items()) if k == kind]
         if not rows:
             continue
+        sure = [1e-6 if votes[0] == 0 else 1.0 for votes, _, _ in rows]
         p = [(sum(v == 1 for v in votes) + 0.5) / (sum(v >= 0 for v in votes) + 1) for votes, _, _ in rows]
+        p = [x * y for x, y in zip(p, sure, strict=True)]
         for _ in range(rounds):
-            total = sum(n for _, n, _ in rows)
-            share = (sum(q * n for q, (_, n, _) in zip(p, rows, strict=True)) + 1) / (total + 2)
+            open_ = [(q, n) for q, most, (_, n, _) in zip(p, sure, rows, strict=True) if most == 1]
+            share = (sum(q * n for q, n in open_) + 1) / (sum(n for _, n in open_) + 2)
             rates = []
             for i in range(len(rows[0][0])):
                 sums = [[4.0, 1.0], [1.0, 4.0]]  # for and against, of true and of false: labelers are better than chance
@@ -176,12 +179,12 @@ def estimate(counts: dict[tuple[int, str], int], rounds: int = ROUNDS) -> dict[t
                         sums[1][1 - votes[i]] += (1 - q) * n
                 rates.append([s[0] / sum(s) for s in sums])
             before, p = p, []
-            for votes, _, _ in rows:
+            for (votes, _, _), most in zip(rows, sure, strict=True):
                 odds = math.log(share / (1 - share))
                 for v, (yes, no) in zip(votes, rates, strict=True):
                     if v >= 0:
                         odds += math.log(yes / no) if v else math.log((1 - yes) / (1 - no))
-                p.append(1 / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
+                p.append(most / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
             if max(abs(x - y) for x, y in zip(before, p, strict=True)) < STILL:
                 break
         out |= {key: q for q, (_, _, key) in zip(p, rows, strict=True)}
@@ -200,9 +203,9 @@ def train(found: DataFrame) -> str:
         return "-99D"
     p = estimate(counts)
     known = F.expr("map(" + ", ".join(f"'{k}:{v}', {q!r}D" for (k, v), q in sorted(p.items())) + ")")
-    weighted = spans.select("kind", F.posexplode("features").alias("f", "value"), known[F.concat_ws(":", "kind", "votes")].alias("p"))
+    weighted = spans.where("passes").select("kind", F.posexplode("features").alias("f", "value"), known[F.concat_ws(":", "kind", "votes")].alias("p"))
     sums = weighted.groupBy("kind", "f", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
-    total = {k: [sum((q, 1 - q)[i] * counts[key] for key, q in p.items() if key[0] == k) for i in (0, 1)] for k in range(len(KINDS))}
+    total = {k: [sum((q, 1 - q)[i] * counts[key] for key, q in p.items() if key[0] == k and not key[1].startswith("0")) for i in (0, 1)] for k in range(len(KINDS))}
     of: dict[tuple[int, int], list[str]] = defaultdict(list)
     for r in sorted(sums, key=lambda r: (r.kind, r.f, r.value)):
         yes, no = total[r.kind]
