@@ -32,9 +32,25 @@ def count_inside(text: Column, key: str) -> Column:
 
 
 def format_3dp(value: Column) -> Column:
-    """A number with three decimals, any other text as it is.  Halves are rounded up."""
+    """A number with three decimals, any other text as it is.
+
+    What is rounded is the exact value of the double, and an exact half goes to
+    the even digit.  From 1e12 on Java's formatter is used.
+    """
     number = value.try_cast("double")
-    return F.when(number.isNotNull(), F.format_string("%.3f", number)).otherwise(value)
+    size = F.abs(number)
+    # A double is split into two halves whose products with 1000 are exact.
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    one, two = high * 1000.0, (size - high) * 1000.0
+    first, second = one - F.floor(one), two - F.floor(two)
+    carried = F.when((first - 1.0) + second >= 0, 1).otherwise(0)
+    whole = F.floor(one) + F.floor(two) + carried
+    over = (first - 0.5 - carried) + second
+    n = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(number.cast("string"), F.lit("-")), "-").otherwise("")
+    exact = F.concat(sign, F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    shown = F.when(size < 1e12, exact).otherwise(F.format_string("%.3f", number))
+    return F.when(number.isNotNull(), shown).otherwise(value)
 
 
 def after_prefix(text: Column, prefix: str) -> Column:

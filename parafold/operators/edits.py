@@ -59,9 +59,11 @@ def first_match(rows: DataFrame, prefix: str, key: str = "doc_id", required: boo
 
 
 def replace_first(rows: DataFrame, prefix: str, text: str, key: str = "doc_id") -> DataFrame:
-    first = first_match(rows, prefix, key).withColumnRenamed(key, "_key")
-    joined = rows.join(first, F.col(key) == F.col("_key"), "left")
-    return joined.withColumn("text", F.when(F.col("idx") == F.col("first"), F.lit(text)).otherwise(F.col("text"))).drop("_key", "first")
+    """Give the first paragraph with the prefix in each document another text; null keys and texts stay as they are."""
+    own = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), F.col("idx").alias("_at"))
+    joined = own.join(first_match(rows, prefix, key).select(F.col(key).alias("_g"), F.col("first").alias("_first")), "_g", "left")
+    new = F.when(F.col("_at") == F.col("_first"), F.lit(text)).otherwise(F.col("_row").getField("text"))
+    return joined.select(*[new.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in rows.columns])
 
 
 def _items(items: Sequence[str]) -> Column:

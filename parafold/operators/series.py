@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,20 @@ def allan_minimum(curve: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def mad_gate(rows: DataFrame, key: str, value: str, factor: float = 3.5, share: float = 0.08) -> DataFrame:
-    """Rows with ``inlier``: within max(factor * MAD, share * median) of the median of their key."""
-    middle = rows.groupBy(key).agg(F.median(value).alias("_median"))
-    spread = rows.join(middle, key).groupBy(key).agg(F.max("_median").alias("_median"), F.median(F.abs(F.col(value) - F.col("_median"))).alias("_mad"))
+    """Rows with ``inlier``: within max(factor * MAD, share * median) of the median of their key.
+
+    Medians are exact.  Rows of a null key, or with a null value, have a null inlier.
+    """
+    own = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), F.col(value).alias("_v"))
+    middle = own.groupBy("_g").agg(F.median("_v").alias("_median"))
+    spread = own.join(middle, "_g").groupBy("_g").agg(F.max("_median").alias("_median"), F.median(F.abs(F.col("_v") - F.col("_median"))).alias("_mad"))
     gate = F.greatest(F.lit(factor) * F.col("_mad"), F.lit(share) * F.col("_median"))
-    return rows.join(spread, key).withColumn("inlier", F.abs(F.col(value) - F.col("_median")) <= gate).drop("_median", "_mad")
+    return own.join(spread, "_g", "left").select("_row.*", (F.abs(F.col("_v") - F.col("_median")) <= gate).alias("inlier"))
+
+
+def gated_mean(rows: DataFrame, key: str, value: str, factor: float = 3.5, share: float = 0.08) -> DataFrame:
+    """(key, n, mean): the mean fitted again to the inliers of ``mad_gate``."""
+    return mad_gate(rows, key, value, factor, share).where("inlier").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
 def six_pose_fit(means: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -56,24 +66,44 @@ def scaled(raw: Column, per_unit: float, bias: Column | float = 0.0) -> Column:
 def complementary_filter(rows: DataFrame, alpha: float = 0.98, block: int = 256, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), rate: str = "rate", measured: str = "measured", step: str = "dt") -> DataFrame:
     """``rows`` with ``angle``: alpha * (angle before + rate * dt) + (1 - alpha) * measured; it begins as measured.
 
-    The recurrence is linear, so the angle is a weighted sum of what the rows
-    add.  It is summed within blocks of rows, and a block takes over the ends
-    of the blocks before it as far as their weight is above 1e-16.
+    ``alpha`` is from 0 to 1.  The recurrence is linear, so the angle is a
+    weighted sum of what the rows add.  It is summed within blocks of rows, which
+    are so short that no weight leaves the range of a double; a block takes over
+    the end of the one before, which is carried the same way over blocks of
+    blocks, until one block is left or a weight is below 1e-100.  A null reading
+    makes all later angles null.
     """
-    n = _numbered(rows, key, order)
-    add = F.when(F.col("_i") == 0, F.col(measured)).otherwise(alpha * F.col(rate) * F.col(step) + (1 - alpha) * F.col(measured))
+    if not 0 <= alpha <= 1:
+        raise ValueError(f"alpha {alpha} is not between 0 and 1")
+    n = _numbered(rows.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), "_g", [f"_o{i}" for i in range(len(order))])
+    get = lambda c: F.col("_row").getField(c)
+    add = F.when(F.col("_i") == 0, get(measured)).otherwise(alpha * get(rate) * get(step) + (1 - alpha) * get(measured))
+    if alpha == 0:
+        return n.select("_row.*", add.alias("angle"))
+    done = _discounted_sums(n.withColumn("_x", add), alpha, block)
+    return done.select("_row.*", F.col("_sum").alias("angle"))
+
+
+def _discounted_sums(n: DataFrame, alpha: float, block: int) -> DataFrame:
+    """``n`` with ``_sum``: of ``_x`` up to row ``_i`` of its group ``_g``, each times alpha for each row that follows."""
+    if alpha < 1:  # weights within a block are above 1e-100
+        block = max(2, min(block, int(-230 / math.log(alpha))))
     n = n.withColumn("_b", F.expr(f"_i div {block}")).withColumn("_k", F.col("_i") % block)
-    inner = W.partitionBy(key, "_b").orderBy("_i")
-    n = n.withColumn("_s", F.sum(add * F.pow(F.lit(alpha), -F.col("_k"))).over(inner) * F.pow(F.lit(alpha), F.col("_k")))
-    ends = n.groupBy(F.col(key).alias("_key"), F.col("_b").alias("_to")).agg(F.max_by("_s", "_k").alias("_e"))
-    reach = 1
-    while alpha ** (block * reach) > 1e-16 and reach < 4096:
-        reach += 1
-    frame = W.partitionBy("_key").orderBy("_to")
-    carried = sum((F.coalesce(F.lag("_e", j).over(frame), F.lit(0.0)) * alpha ** (block * (j - 1)) for j in range(1, reach + 1)), F.lit(0.0))
-    ends = ends.withColumn("_c", carried)
-    joined = n.join(ends, (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_to")))
-    return joined.withColumn("angle", F.col("_s") + F.pow(F.lit(alpha), F.col("_k") + 1) * F.col("_c")).drop("_i", "_b", "_k", "_s", "_key", "_to", "_e", "_c")
+    inner = W.partitionBy("_g", "_b").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    weight = lambda k: F.pow(F.lit(alpha), k)
+    # One null makes the sums that follow null.
+    clean = F.count(F.when(F.col("_x").isNull(), 1)).over(inner) == 0
+    n = n.withColumn("_own", F.when(clean, F.sum(F.col("_x") * weight(-F.col("_k"))).over(inner) * weight(F.col("_k"))))
+    ends = n.groupBy("_g", "_b").agg(F.max_by("_own", "_k").alias("_x"), F.max("_k").alias("_last"))
+    if ends.select(F.max("_b")).first()[0] in (None, 0):
+        return n.withColumnRenamed("_own", "_sum").drop("_b", "_k", "_x")
+    # Blocks but for the last of a group are full, so that ends are ``block`` rows apart.
+    whole = alpha**block
+    ends = ends.where(F.col("_last") == block - 1).select("_g", F.col("_b").alias("_i"), "_x")
+    carried = (_discounted_sums(ends, whole, block) if whole >= 1e-100 else ends.withColumn("_sum", F.col("_x"))).select(F.col("_g").alias("_to"), (F.col("_i") + 1).alias("_at"), F.col("_sum").alias("_c"))
+    joined = n.join(carried, F.col("_g").eqNullSafe(F.col("_to")) & (F.col("_b") == F.col("_at")), "left")
+    total = F.when(F.col("_b") == 0, F.col("_own")).otherwise(F.col("_own") + weight(F.col("_k") + 1) * F.col("_c"))
+    return joined.withColumn("_sum", total).drop("_to", "_at", "_c", "_own", "_b", "_k", "_x")
 
 
 def segment_ratio(rows: DataFrame, segment: str, over: str, under: str, value: str = "value") -> DataFrame:
@@ -112,6 +142,24 @@ def align_last(left: DataFrame, right: DataFrame, key: str, ts: str, values: Seq
     return both.where("_side = 1").select(*left.columns, *[F.col(f"_l.{v}").alias(f"last_{v}") for v in values])
 
 
+def interpolate(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """``left`` with ``interpolated``: ``value`` of ``right`` at its time, on the line between the rows before and after.
+
+    Times are numbers.  Outside the times of ``right``, or without a row of the
+    key, it is null; of rows of ``right`` at the same time the one with the
+    greatest value counts.
+    """
+    a = left.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), F.col(ts).alias("_t"), F.lit(None).cast("double").alias("_v"))
+    b = right.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_g"), F.col(ts).alias("_t")).agg(F.max(value).cast("double").alias("_v"))
+    both = a.unionByName(b.withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType)))
+    point = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
+    w = W.partitionBy("_g").orderBy("_t")
+    both = both.withColumn("_p", F.last(point, ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("_q", F.first(point, ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
+    gap = F.col("_q._t") - F.col("_p._t")
+    line = F.col("_p._v") + F.when(gap == 0, 0.0).otherwise((F.col("_q._v") - F.col("_p._v")) * (F.col("_t") - F.col("_p._t")) / gap)
+    return both.where(F.col("_row").isNotNull()).select("_row.*", line.alias("interpolated"))
+
+
 def sliding_windows(rows: DataFrame, size: int = 64, stride: int = 4, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), value: str = "value") -> DataFrame:
     """(key, window, first row, values): full windows of ``size`` rows, every ``stride`` rows."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(0, size - 1)

@@ -147,10 +147,10 @@ def json_field(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, printf('%.3f', value + 0.0001) AS shown, printf('%.3f', abs(value) * 600.0) AS drift FROM events")
+@query("SELECT event_id, printf('%.3f', value) AS shown, printf('%.3f', abs(value) * 600.0) AS drift FROM events")
 def format_three_decimals(spark, sf_dir):
     value = F.col("value")
-    return _events(spark, sf_dir).select("event_id", format_3dp((value + 0.0001).cast("string")).alias("shown"), format_3dp((F.abs(value) * 600.0).cast("string")).alias("drift"))
+    return _events(spark, sf_dir).select("event_id", format_3dp(value.cast("string")).alias("shown"), format_3dp((F.abs(value) * 600.0).cast("string")).alias("drift"))
 
 
 @query(P + " SELECT doc_id, idx, CASE WHEN starts_with(text, 'The ') THEN substr(text, 5) ELSE text END AS rest, substr(t, 1, 90) AS shown FROM q")

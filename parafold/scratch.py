@@ -1,7 +1,8 @@
 """Working tables in the folder that the driver and all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(local tests) a temporary folder of this process is used instead.
+and the master is local, so that there is one machine, a temporary folder of this
+process is used instead; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared working folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="parafold-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parafold.functions import after_prefix, count_inside, format_3dp, lines_of, strip
-from parafold.operators import edits, lookups, series
+from parafold.operators import edits, lookups, reports, sensing, series
 from parafold.sources import first_existing, paragraphs, read_csv_strings, read_json_document, write_edited
 from parafold.streaming import read_lines, save_batches, summarise
 
@@ -88,22 +88,94 @@ def test_empty_tables(spark):
     assert paragraphs(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 0
 
 
-def test_complementary_filter_by_rows(spark):
-    data = [(1, i, float(i % 7), float(i % 5), 0.1) for i in range(700)]
-    rows = spark.createDataFrame(data, "user_id long, ts long, rate double, measured double, dt double").withColumn("event_id", F.col("ts"))
-    angle, want = None, []
-    for _, _, rate, measured, dt in data:
-        angle = measured if angle is None else 0.98 * (angle + rate * dt) + 0.02 * measured
-        want.append(angle)
-    got = [r.angle for r in series.complementary_filter(rows, block=64).orderBy("ts").collect()]
-    assert got == pytest.approx(want, abs=1e-9)
+@pytest.mark.parametrize("alpha", [0.0, 0.05, 0.5, 0.98, 0.9999, 1.0])
+@pytest.mark.parametrize("block", [4, 256])
+def test_complementary_filter_by_rows(spark, alpha, block):
+    data = [(u, i, float(i % 7), float(i % 5), 0.1) for u in (1, 2, None) for i in range(700 if u == 1 else 9)]
+    rows = spark.createDataFrame(data, "user_id long, ts long, rate double, measured double, dt double").withColumns({"event_id": F.col("ts"), "_i": F.lit("clash"), "_x": F.lit("clash")})
+    angle, want = {}, {}
+    for u, i, rate, measured, dt in data:
+        angle[u] = alpha * (angle[u] + rate * dt) + (1 - alpha) * measured if u in angle else measured
+        want[u, i] = angle[u]
+    out = series.complementary_filter(rows, alpha, block)
+    assert out.columns == [*rows.columns, "angle"]
+    got = {(r.user_id, r.ts): r.angle for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert series.complementary_filter(rows.limit(0), alpha, block).count() == 0
+
+
+def test_complementary_filter_alpha(spark):
+    with pytest.raises(ValueError):
+        series.complementary_filter(spark.range(1), 1.5)
+
+
+def test_interpolate(spark):
+    left = spark.createDataFrame([(1, t) for t in (-1, 0, 5, 10, 15, 20, 21)] + [(2, 5), (None, 5)], "k long, t long")
+    right = spark.createDataFrame([(1, 0, 0.0), (1, 10, 10.0), (1, 10, 4.0), (1, 20, 0.0), (1, 17, None)], "k long, t long, v double")
+    got = {(r.k, r.t): r.interpolated for r in series.interpolate(left, right, "k", "t", "v").collect()}
+    assert got == {(1, -1): None, (1, 0): 0.0, (1, 5): 5.0, (1, 10): 10.0, (1, 15): 5.0, (1, 20): 0.0, (1, 21): None, (2, 5): None, (None, 5): None}
+
+
+@pytest.mark.parametrize("x", [0.0005, 0.0015, 1.0005, 2.0625, 0.0625, 1e-9, -1e-9, -2.0005, 123456.0625, 0.9995, 0.99949999, 999999999.9995, 1 / 3, 5e11 + 0.0005])
+def test_three_decimals_as_printf(spark, x):
+    assert one(spark, format_3dp(F.lit(repr(x)))) == f"{x:.3f}"
+
+
+def test_inverse_fit(spark):
+    rows = spark.createDataFrame([(2.0 * x + 0.1 * y + 1, y - 0.5, 3.0 * z + 0.2 * x) for x, y, z in [(1.0, 2.0, 3.0), (0.0, 0.0, 0.0)]], "x double, y double, z double")
+    names = [f"m_{a}_{p}" for a in "xyz" for p in "xyz"] + [f"b_{a}" for a in "xyz"]
+    fit = spark.createDataFrame([(2.0, 0.1, 0.0, 0.0, 1.0, 0.0, 0.2, 0.0, 3.0, 1.0, -0.5, 0.0)], ", ".join(f"{n} double" for n in names))
+    got = [tuple(r)[3:] for r in sensing.apply_inverse_fit(rows, fit).collect()]
+    assert got == [pytest.approx((1.0, 2.0, 3.0)), pytest.approx((0.0, 0.0, 0.0))]
+    singular = fit.selectExpr("0.0 AS m_x_x", *[f"0.0 AS {n}" for n in names[1:9]], *names[9:])
+    assert [r.true_x for r in sensing.apply_inverse_fit(rows, singular).collect()] == [None, None]
+
+
+def test_small_matrices():
+    assert sensing.condition_number([[2, 0], [0, 1]]) == pytest.approx(2) and sensing.distance_law(5, 15) == pytest.approx(27)
+
+
+def test_gga(spark):
+    good = "$GPGGA,123519,4807.038,N,01131.000,E,1,08,0.9,545.4,M,46.9,M,,*47"
+    rows = spark.createDataFrame([(good,), (good.replace("*47", "*48"),), ("$GPRMC,1*00",), (None,), ("",)], "s string")
+    got = [r.f for r in rows.select(sensing.parse_gga(F.col("s")).alias("f")).collect()]
+    assert (round(got[0].lat, 4), round(got[0].lon, 4), got[0].quality, got[0].satellites, got[0].hdop, got[0].altitude) == (48.1173, 11.5167, 1, 8, 0.9, 545.4)
+    assert got[1:] == [None] * 4
+
+
+def test_tables_and_templates(spark):
+    body = spark.createDataFrame([(2, ["c", "d"]), (1, ["a"]), (3, [])], "o long, cells array<string>")
+    got = sorted((r.row, r.col, r.text) for r in reports.table_rows(["x", "y"], body, "o").collect())
+    assert got == [(0, 0, "x"), (0, 1, "y"), (1, 0, "a"), (1, 1, ""), (2, 0, "c"), (2, 1, "d"), (3, 0, ""), (3, 1, "")]
+    with pytest.raises(Exception, match="more than 1 cells"):
+        reports.table_rows(["x"], body, "o").collect()
+    assert reports.table_rows(["x"], body.limit(0), "o").count() == 1
+    keyed = spark.createDataFrame([("a", "1")], "key string, value string")
+    assert reports.fill_template(keyed, "is {v}", {"v": "a"}).first().text == "is 1"
+    with pytest.raises(Exception, match="no such key"):
+        reports.fill_template(keyed, "is {v}", {"v": "b"}).collect()
+    with pytest.raises(Exception, match="more than 1 values"):
+        reports.listed(body, "o", "o", most=1).collect()
+    neither = spark.createDataFrame([("a", 1)], "other string, n long")
+    assert reports.item_map(neither, "n").count() == 0 and not reports.has_keys(neither, ["item"])
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, 0, "ab", "f", 1.0), (1, 1, "ac", "f", 3.0)], ROWS + ", first string, _median double").withColumn("key__", F.lit("k"))
+    out = edits.replace_first(rows, "a", "new")
+    assert out.columns == rows.columns and [r.text for r in out.orderBy("idx").collect()] == ["new", "ac"]
+    gate = series.mad_gate(rows, "doc_id", "_median")
+    assert gate.columns == [*rows.columns, "inlier"] and gate.count() == 2
 
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("2024-01-01 00:00:01,1.0\n2024-01-01 00:00:02,3.0\nbroken,2\n")
+    (tmp_path / "in" / "b.csv").write_text("2024-01-01 01:00:00,9.0\n")
     stream = summarise(read_lines(spark, str(tmp_path / "in"), "ts timestamp, value double"), "ts", "value")
-    seen = []
-    job = save_batches(stream, str(tmp_path / "check"), lambda df, n: seen.extend(df.collect()))
+    job = save_batches(stream, str(tmp_path / "check"), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}")))
     job.awaitTermination(120)
     assert job.exception() is None
+    # The first window is closed by the watermark that the later row moves on.
+    got = [(r.n, r.mean, r.low, r.high) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [(2, 2.0, 1.0, 3.0)]
