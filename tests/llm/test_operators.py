@@ -195,7 +195,11 @@ def _keys(norm):
     """Keys of a line: from each block on, blocks that hold enough longer words."""
     words = list(dict.fromkeys(norm.split(" ")))
     longer = [w for w in words if len(w) >= lines.LETTERS]
-    words = longer if len(longer) >= lines.FEW_WORDS else words
+    return _print(longer if len(longer) >= lines.FEW_WORDS else words)
+
+
+def _print(words):
+    """Keys and blocks of the words that vote."""
     blocks = [[] for _ in range(lines.BLOCKS)]
     for w in words:
         h = xxhash.xxh64_intdigest(w.encode(), 42)
@@ -211,7 +215,14 @@ def _keys(norm):
             if held >= need or span == lines.BLOCKS:
                 keys.add((i, span, held, *(bits[b] for b in own)))
                 break
-    return keys
+    return keys, [(n, p) for n, p in zip(sizes, bits, strict=True)]
+
+
+def _meet(a, b):
+    """Two lines have a common key, and enough common blocks if they fill most of them."""
+    same = sum(x == y and x[0] > 0 for x, y in zip(a[1], b[1], strict=True))
+    filled = min(sum(n > 0 for n, _ in x[1]) for x in (a, b))
+    return a[0] & b[0] and (same >= lines.AGREE or filled < lines.FILLED)
 
 
 def _edits(a, b):
@@ -247,7 +258,7 @@ def removed_lines(texts):
     names = list(where)
     for i, a in enumerate(names):
         for b in names[:i]:
-            if keys[a] & keys[b] and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and _edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            if _meet(keys[a], keys[b]) and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and _edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
                 x, y = sorted((find(a), find(b)), key=lambda n: first[n])
                 root[y] = x
     stays = {}
@@ -300,7 +311,7 @@ def test_line_dedup_keys(spark):
     rows = list(dict.fromkeys(r.replace(".0", "") for r in rows)) + [" ".join(["w0long", "the", *(f"w{i}long" for i in range(2, 9))])]
     table = spark.createDataFrame(list(enumerate(rows)), "k1 long, norm string")
     got = {r.k1: set(r["keys"]) for r in lines.class_keys(table).collect()}
-    plain = [_keys(r) for r in rows]
+    plain = [_keys(r)[0] for r in rows]
     for i in range(len(rows)):
         for j in range(i + 1):
             assert len(got[i] & got[j]) == len(plain[i] & plain[j])
