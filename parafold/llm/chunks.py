@@ -51,6 +51,21 @@ def expand(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as bytes, all first bytes, all second ones and so on: those that are mostly zero cost little."""
+    return squeeze(*(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T for a in arrays))
+
+
+def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(expand(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,9 +86,9 @@ class Chunk:
     @staticmethod
     def load(batch: pa.RecordBatch, row: int) -> Chunk:
         def array(name: str, kind) -> np.ndarray:
-            return np.frombuffer(batch.column(name)[row].as_py(), kind)
+            return unpack(batch.column(name)[row].as_py(), kind)[0]
 
-        text = batch.column("words")[row].as_py()
+        text = expand(batch.column("words")[row].as_py())
         words = text.split(b"\n") if text else []
         return Chunk(batch.column("chunk")[row].as_py(), array("ids", np.int64), array("has_id", bool), array("flags", np.uint8), array("at", np.int64), array("codes", np.int32), words)
 
@@ -97,12 +112,12 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [
             task << 32 | n,
             int(at[-1]),
-            ids.fill_null(0).to_numpy().astype(np.int64).tobytes(),
-            np.array(ids.is_valid(), bool).tobytes(),
-            batch.column("flag").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-            at.astype(np.int64).tobytes(),
-            coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(),
-            text,
+            pack(ids.fill_null(0).to_numpy().astype(np.int64)),
+            pack(np.array(ids.is_valid(), bool)),
+            pack(batch.column("flag").to_numpy(zero_copy_only=False).astype(np.uint8)),
+            pack(at.astype(np.int64)),
+            pack(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)),
+            zstandard.ZstdCompressor(level=1).compress(text),
         ]
         n += 1
         types = [pa.int64()] * 2 + [pa.binary()] * 6

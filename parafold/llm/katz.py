@@ -1,21 +1,25 @@
 """Katz backoff language model with Good-Turing discounts.
 
-Counts of tokens and of pairs of tokens are kept in tables partitioned by the
-key of what is counted.  A chunk of documents asks each partition for its
+Counts of grams of one token up to ``order`` are kept in tables partitioned by
+the key of what is counted.  A chunk of documents asks each partition for its
 distinct keys once; the partition adds up the training counts of all chunks,
-stores them, and answers with the sums.  The first chunk that asked for a pair
-then adds the pair's discounted count and its lower-order probability to its
-context, in a table partitioned by context, so that every backoff weight is
-exactly what its seen continuations leave over.
-
-``P(w | v)`` is recursive: the discounted share of a seen pair; else the weight
-of the context times ``P(w)``; that is the discounted share of a seen token,
-else what is left over, which stands for all unknown tokens as one.
+stores them, and answers with the sums.  The first chunk that asked for a gram
+then adds the gram's count and its lower-order probability to its context, in a
+table partitioned by context, so that every backoff weight is exactly what its
+seen continuations leave over.  A blob of keys never outnumbers them, so that
+what is exchanged grows with the distinct grams of the chunks.
+
+``P(w | context)`` is recursive: the discounted share of a seen gram; else the
+weight of the context times the probability of ``w`` after the context without
+its first token; in the end the discounted share of a seen token, else what is
+left over, which stands for all unknown tokens as one.  A context that was never
+seen has the weight 1.
 
 Tokens are lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` and one end for each
-text.  Defined results.  A null or empty text is the end alone.  A row with a
-null id is trained on.  Repeated rows count as often as they come.  An empty
-training set gives the unknown token all probability.
+text, with beginnings before the first.  Defined results.  A null or empty text
+is the end alone.  A row with a null id is trained on.  Repeated rows count as
+often as they come.  An empty training set gives the unknown token all
+probability; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import Scratch
-from .chunks import BLOBS, Chunk, blob_batch, by_part, deal, each_chunk, expand, mix, save_chunkwise, squeeze, with_answers, write_chunks
+from .chunks import BLOBS, Chunk, blob_batch, by_part, each_chunk, expand, mix, pack, save_chunkwise, squeeze, unpack, with_answers, write_chunks
 
 #: Counts above this are not discounted.
 LARGEST = 5
 #: Tokens of the longest grams, and the most that there can be.
 ORDER, MOST_ORDER = 2, 5
+#: Bits of a key within its partition.
+KEY_BITS = 48
 #: Chunk numbers of the rows that hold a partition's table and its sums.
 TABLE, SUMS = -1, -2
 
@@ -84,12 +90,14 @@ class Tokens:
 
 
 class Asked:
-    """Distinct keys in the order they are asked in, by partition."""
+    """Distinct keys in the order they are asked in: by partition, then by their ``KEY_BITS``."""
 
     def __init__(self, keys: np.ndarray, parts: int):
-        distinct, self.first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        order, self.bounds = deal(distinct, parts)
-        self.keys, self.first = distinct[order], self.first[order]
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        part, small = (distinct % np.uint64(parts)).astype(np.int64), mix(distinct) >> np.uint64(64 - KEY_BITS)
+        order = np.lexsort((small, part))
+        self.keys, self.first = small[order], first[order]
+        self.bounds = np.searchsorted(part[order], np.arange(parts + 1))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.inverse = back[inverse]
@@ -98,30 +106,22 @@ class Asked:
         out = []
         for p, (a, b) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)):
             if a < b:
-                out.append((number, p, squeeze(self.keys[a:b], *(x[a:b] for x in arrays))))
+                out.append((number, p, pack(np.diff(self.keys[a:b], prepend=np.uint64(0)), *(x[a:b] for x in arrays))))
         return out
 
     def read(self, answers: dict[int, bytes], *kinds) -> list[np.ndarray]:
         out = [np.zeros(len(self.keys), k) for k in kinds]
         for p, blob in answers.items():
-            a, b = int(self.bounds[p]), int(self.bounds[p + 1])
-            raw, place = expand(blob), 0
-            for x, k in zip(out, kinds, strict=True):
-                x[a:b] = np.frombuffer(raw, k, b - a, place)
-                place += (b - a) * np.dtype(k).itemsize
+            for x, got in zip(out, unpack(blob, *kinds), strict=True):
+                x[int(self.bounds[p]) : int(self.bounds[p + 1])] = got
         return out
 
 
 def _columns(table: pa.Table, *kinds) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """Chunks, how many keys each asked for, and the columns of all blobs."""
-    raw = [expand(b) for b in table.column("blob").to_pylist()]
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    sizes = [len(r) // width for r in raw]
-    out, done = [], 0
-    for k in kinds:
-        out.append(np.concatenate([np.frombuffer(r, k, n, n * done) for r, n in zip(raw, sizes, strict=True)]))
-        done += np.dtype(k).itemsize
-    return table.column("chunk").to_pylist(), sizes, out
+    """Chunks, how many keys each asked for, the keys, and the columns of all blobs."""
+    blobs = [unpack(b, np.uint64, *kinds) for b in table.column("blob").to_pylist()]
+    keys = np.concatenate([np.cumsum(b[0]) for b in blobs])
+    return table.column("chunk").to_pylist(), [len(b[0]) for b in blobs], [keys, *(np.concatenate([b[i] for b in blobs]) for i in range(1, len(kinds) + 1))]
 
 
 def _ask_counts(parts: int, order: int):
@@ -137,16 +137,16 @@ def _ask_counts(parts: int, order: int):
 def _answer_counts(table: pa.Table) -> pa.Table:
     """Sums of the counts; which chunk was first; the table; counts of counts."""
     part = table.column("part")[0].as_py()
-    chunks, sizes, (keys, counts) = _columns(table, np.uint64, np.int64)
+    chunks, sizes, (keys, counts) = _columns(table, np.int64)
     distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     sums = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
     owner = np.zeros(len(keys), np.int8)
     owner[first] = 1
     cuts = np.cumsum(sizes)[:-1]
-    rows = [(c, part, squeeze(n, o)) for c, n, o in zip(chunks, np.split(sums[inverse], cuts), np.split(owner, cuts), strict=True)]
+    rows = [(c, part, pack(n, o)) for c, n, o in zip(chunks, np.split(sums[inverse], cuts), np.split(owner, cuts), strict=True)]
     seen = sums > 0
     kept = distinct[seen]
-    rows.append((TABLE, part, squeeze(np.diff(kept, prepend=np.uint64(0)), sums[seen].astype(np.uint32) if sums.max(initial=0) < 1 << 32 else sums[seen])))
+    rows.append((TABLE, part, pack(np.diff(kept, prepend=np.uint64(0)), sums[seen])))
     of = np.bincount(sums[seen & (sums <= LARGEST + 1)], minlength=LARGEST + 2)
     rows.append((SUMS, part, squeeze(np.concatenate([[sums.sum(), seen.sum()], of[1:]]).astype(np.int64))))
     return pa.Table.from_batches([blob_batch(rows)])
@@ -213,7 +213,7 @@ class Recursion:
             counts = grams.read(answers[2 * order - 3], np.int64, np.int8)[0][grams.inverse]
             if 2 * order - 2 == len(answers):  # its contexts are still to be asked about
                 break
-            below, weight = (x[contexts.inverse] for x in contexts.read(answers[2 * order - 2], np.float64, np.float64))
+            below, weight = (x[contexts.inverse] for x in contexts.read(answers[2 * order - 2], np.int64, np.float64))
             seen, known = discounted(counts, ratios[order - 2]) / np.maximum(below, 1), below > 0
             self.p = np.where(counts > 0, seen, np.where(known, weight, 1.0) * self.p)
 
@@ -226,26 +226,37 @@ def _ask_contexts(parts: int, order: int, unigrams: Unigrams, ratios: list[np.nd
         counts, owner = grams.read(answers[-1], np.int64, np.int8)
         own = (owner == 1) & (counts > 0)
         first = grams.first[own]
-        sums = [np.bincount(contexts.inverse[first], x, len(contexts.keys)) for x in (counts[own], discounted(counts[own], ratios[order - 2]), lower[first])]
+        # How many continuations the chunk owns of each count that is discounted.
+        few = [np.bincount(contexts.inverse[first[counts[own] == r]], minlength=len(contexts.keys)).astype(np.int32) for r in range(1, len(ratios[order - 2]))]
+        sums = [np.bincount(contexts.inverse[first], counts[own], len(contexts.keys)).astype(np.int64), *few, np.bincount(contexts.inverse[first], lower[first], len(contexts.keys))]
         return blob_batch(contexts.rows(chunk.number, *sums))
 
     return each_chunk(ask)
 
 
-def _answer_contexts(table: pa.Table) -> pa.Table:
+def _answer_contexts(ratios: np.ndarray):
     """Each context's denominator, 0 if it is unseen, and its backoff weight."""
-    part = table.column("part")[0].as_py()
-    chunks, sizes, (keys, *values) = _columns(table, np.uint64, np.float64, np.float64, np.float64)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    count, kept, lower = (np.bincount(inverse, v, len(distinct)) for v in values)
-    # A context none of whose continuations is discounted leaves one count over.
-    below = np.where(kept < count * (1 - 1e-12), count, count + 1)
-    weight = np.where(count > 0, (1 - kept / np.maximum(below, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
-    below = np.where(count > 0, below, 0.0)
-    cuts = np.cumsum(sizes)[:-1]
-    rows = [(c, part, squeeze(n, w)) for c, n, w in zip(chunks, np.split(below[inverse], cuts), np.split(weight[inverse], cuts), strict=True)]
-    rows.append((TABLE, part, squeeze(distinct[count > 0], below[count > 0], weight[count > 0])))
-    return pa.Table.from_batches([blob_batch(rows)])
+    r = np.arange(1, len(ratios))
+    lost = r - discounted(r, ratios)
+
+    def answer(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        chunks, sizes, (keys, *values) = _columns(table, np.int64, *[np.int32] * len(r), np.float64)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        count, *small, lower = (np.bincount(inverse, v, len(distinct)) for v in values)
+        left = sum(x * n for x, n in zip(lost, small, strict=True))
+        # A context none of whose continuations is discounted leaves one count over.
+        below = np.where(left > 0, count, count + 1)
+        left = np.where(left > 0, left, 1.0)
+        weight = np.where(count > 0, left / np.maximum(below, 1) / np.maximum(1 - lower, 1e-300), 1.0)
+        below = np.where(count > 0, below, 0).astype(np.int64)
+        cuts = np.cumsum(sizes)[:-1]
+        rows = [(c, part, pack(n, w)) for c, n, w in zip(chunks, np.split(below[inverse], cuts), np.split(weight[inverse], cuts), strict=True)]
+        seen = count > 0
+        rows.append((TABLE, part, pack(np.diff(distinct[seen], prepend=np.uint64(0)), below[seen], weight[seen])))
+        return pa.Table.from_batches([blob_batch(rows)])
+
+    return answer
 
 
 def _score(parts: int, unigrams: Unigrams, ratios: list[np.ndarray]):
@@ -283,7 +294,7 @@ def score_by_katz(docs: DataFrame, held_out: Column, order: int = ORDER) -> Data
         ratios.append(discounts(_sums(grams)[2:]))
         answers.append(grams.where("chunk >= 0"))
         asked = with_answers(chunks, *answers).mapInArrow(_ask_contexts(parts, k, unigrams, ratios), BLOBS)
-        answers.append(save_chunkwise(work, by_part(asked, _answer_contexts), f"contexts_{k}").where("chunk >= 0"))
+        answers.append(save_chunkwise(work, by_part(asked, _answer_contexts(ratios[-1])), f"contexts_{k}").where("chunk >= 0"))
     scored = with_answers(chunks, *answers).mapInArrow(_score(parts, unigrams, ratios), _SCORES)
     scored = save_chunkwise(work, scored, "scores")
     work.drop("chunks")

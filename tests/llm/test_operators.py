@@ -101,6 +101,69 @@ def test_katz_base_and_model(spark, texts):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+class PlainKatz:
+    """Katz backoff over dictionaries, recursive, for one corpus of token lists."""
+
+    def __init__(self, corpus, order):
+        import numpy as np
+
+        self.order = order
+        self.counts = [Counter() for _ in range(order + 1)]
+        for tokens in corpus:
+            padded = ["<s>"] * (order - 1) + tokens
+            for i in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    self.counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+        of = [np.array([sum(n == r for n in c.values()) for r in range(1, katz.LARGEST + 2)]) for c in self.counts]
+        self.one = katz.Unigrams(sum(self.counts[1].values()), len(self.counts[1]), of[1])
+        self.ratios = [None, None, *(katz.discounts(o) for o in of[2:])]
+        self.after = defaultdict(list)
+        for k in range(2, order + 1):
+            for gram in self.counts[k]:
+                self.after[gram[:-1]].append(gram[-1])
+
+    def share(self, n, k):
+        return n * (self.ratios[k][n] if n < len(self.ratios[k]) else 1.0)
+
+    def p(self, word, context):
+        import numpy as np
+
+        if not context:
+            return float(self.one.p(np.array([self.counts[1][word,]]))[0])
+        k = len(context) + 1
+        seen = [self.counts[k][*context, w] for w in self.after[context]]
+        if not seen:
+            return self.p(word, context[1:])
+        lost = sum(n - self.share(n, k) for n in seen)
+        below = sum(seen) if lost > 0 else sum(seen) + 1
+        if n := self.counts[k][*context, word]:
+            return self.share(n, k) / below
+        rest = 1 - sum(self.p(w, context[1:]) for w in self.after[context])
+        return (lost if lost > 0 else 1) / below / rest * self.p(word, context[1:])
+
+
+KATZ = ["a b c a b", "A b a b c d", "c d c d e a", "", "a", None, "b c a b c\ta  b", "e e e e e a b c", "a b c d e", "unseen words b c", "d a unseen", "a b c a b"]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_against_recursion(spark, order):
+    rows = [(None if i == 4 else i, t, "x", "y") for i, t in enumerate(KATZ)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, chunk string")
+    held = [9, 10]
+    model = PlainKatz([_tokens(t or "") for i, t in enumerate(KATZ) if i not in held], order)
+    got = {r.doc_id: r for r in katz.score_by_katz(docs, F.col("doc_id").isin(held), order).collect()}
+    assert len(got) == len(KATZ)
+    for i, t in enumerate(KATZ):
+        tokens = ["<s>"] * (order - 1) + _tokens(t or "")
+        want = sum(math.log10(model.p(tokens[j], tuple(tokens[j - order + 1 : j]))) for j in range(order - 1, len(tokens)))
+        assert got[None if i == 4 else i].score == pytest.approx(want, abs=1e-9) and got[None if i == 4 else i].held_out == (i in held)
+    # After each context, seen or not, the probabilities of all tokens and the unknown one are one.
+    contexts = {(), *(c for c in model.after if len(c) < order), ("unseen",) * (order - 1)}
+    for c in contexts:
+        assert sum(model.p(w, c) for (w,) in model.counts[1]) + model.p("never", c) == pytest.approx(1)
+    assert katz.score_by_katz(docs.limit(0), F.lit(False), order).count() == 0
+
+
 def test_katz_sums_to_one():
     import numpy as np
 
@@ -140,6 +203,39 @@ def test_personal_data_table(spark, texts):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(k) for s in want) for k in BASE)
 
 
+def test_personal_data_added(spark):
+    """Disguised data is added; what the check of its kind refuses never is."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+
+    def card():
+        while True:
+            digits = "4" + "".join(str(rng.randrange(10)) for _ in range(15))
+            if _luhn(digits):
+                return digits
+
+    octets = lambda sep: sep.join(["10", *(str(rng.randrange(256)) for _ in range(3))])
+    docs, want = [], set()
+    for i in range(300):
+        docs.append((i, f"{word()} mail {word()}.{word()}@{word()}.com and ip {octets('.')} or card {card()} call +1 (523) 555-1{i:03d}. {word()}"))
+    for i in range(300, 600):
+        c = card()
+        hidden = [f"{word()} [at] {word()} [dot] com", octets("[.]"), ".".join(c[k : k + 4] for k in range(0, 16, 4)), f"(523) 555-1{i:03d}"]
+        docs.append((i, f"{word()} mail {hidden[0]} and ip {hidden[1]} or card {hidden[2]} call {hidden[3]} {word()}"))
+        want |= {(i, k, docs[i][1].index(h)) for k, h in enumerate(hidden)}
+    for i in range(600, 900):
+        docs.append((i, f"order no 12.{i}.7.999 version 1.2.3.{i} serial 4111 1111 1111 {i:04d} ref 4111.1111.1111.{i:04d} id 300[.]1[.]2[.]3"))
+    text = dict(docs)
+    added = {(r.doc_id, s.kind, s.start, s.stop) for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.spans if not s.base}
+    found = {a[:3] for a in added}
+    assert len(found & want) >= 0.95 * len(want)
+    for d, kind, start, stop in added:
+        digits = re.sub("[^0-9]", "", text[d][start:stop])
+        assert (d, kind, start) in want or kind == 2 and _luhn(digits)
+
+
 HARD = [
     "a@b.c+d@e.f g@h.i.j..k l@m n@o.p-", "..a@b.c", "1.2.3.4.5.6.7.8 256.1.1.1 0255.001.1.1 1.2.3", "4111 1111 1111 1111-4111-1111-1111-1111",
     "4111111111111111 x4111111111111112", "+1 (523) 555-1055. +1234567890123456 +1 2 +49.30.1234567-", "é😀 +1 (523) 555-1055 é a@b.co 😀 8.8.8.8", "", None, "9" * 50 + "@" * 50 + "." * 50, "+" * 30 + "1-" * 30,
