@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -41,10 +42,75 @@ def test_toxicity(spark, texts):
     rows = toxicity.op1_toxicity(spark, DIR).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     assert all(r.held_out == (crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
-    score = {r.doc_id: r.score for r in rows}
-    known = [(score[r.doc_id], r.toxic) for r in spark.read.parquet(f"{DIR}/labels.parquet").collect() if r.toxic is not None and r.doc_id in score]
-    pairs = [(a, b) for a, x in known for b, y in known if x == 1 and y == 0]
-    assert not pairs or sum(a > b for a, b in pairs) / len(pairs) > 0.8
+
+
+def test_toxicity_held_out(spark):
+    """Documents whose labels were not learned from, told apart by invented insults with endings of their own."""
+    import random
+
+    rng = random.Random(7)
+    part = lambda: rng.choice("re th an in er on at en nd ti es or te of ed is it al ar st".split())
+    word = lambda: "".join(part() for _ in range(rng.randint(1, 4)))
+    docs = []
+    for i in range(600):
+        words = [word() for _ in range(60)]
+        for _ in range(4 if i % 6 == 0 else 0):
+            words[rng.randrange(60)] = "scumz" + part()
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.learn(frame.where("doc_id % 3 != 1 AND doc_id < 300 OR doc_id >= 300 AND doc_id % 2 = 0"), labels)
+    held = frame.where("doc_id < 300 AND doc_id % 3 = 1 OR doc_id >= 300 AND doc_id % 2 = 1 OR doc_id IN (0, 12)")
+    got = {r.doc_id: r.s for r in held.select("doc_id", toxicity.score(held, model).alias("s")).collect()}
+    clean = [s for d, s in got.items() if d % 6]
+    assert min(got[0], got[12]) > 0.7 and sum(s < 0.5 for s in clean) >= 0.97 * len(clean)
+
+
+def test_toxicity_probabilities(spark):
+    """Differences of words against plain recursion over dictionaries; all signs together have probability one."""
+    texts = ["bad baad bald", "bad dab", "good bald old", "old gold", "bold old good god", "a", "bad bad add", "do"]
+    toxic = [1, 1, 0, 0, 0, 0, 1, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    own = [Counter(), Counter()]
+    for t, x in zip(texts, toxic, strict=True):
+        for w in set(t.split()):
+            w = f"^{w}^"
+            for i in range(1, len(w)):
+                own[1 - x][w[max(0, i - toxicity.ORDER) : i + 1]] += 1
+    levels = [[Counter({g: n for g, n in c.items() if len(g) == k + 1}) for c in own] for k in range(toxicity.ORDER + 1)]
+    for k in range(toxicity.ORDER - 1, -1, -1):
+        for low, high in zip(levels[k], levels[k + 1], strict=True):
+            low.update(g[1:] for g in list(high))
+    off = [[toxicity.discount(np.array([c[g] for g in levels[k][0] | levels[k][1]])) for c in levels[k]] for k in range(toxicity.ORDER + 1)]
+    signs = {g for c in levels[0] for g in c}
+
+    def p(context, sign):
+        if not context:
+            n = [sum(c.values()) for c in levels[0]]
+            return [(levels[0][0][sign] + levels[0][1][sign] + 1) / (sum(n) + len(signs) + 1)] * 2
+        lower, k = p(context[1:], sign), len(context)
+        kept, rest = [], []
+        for c, d in zip(levels[k], off[k], strict=True):
+            seen = {g: n for g, n in c.items() if g[:-1] == context}
+            kept.append({g[-1]: max(n - d, 0) for g, n in seen.items()})
+            rest.append(1 - sum(kept[-1].values()) / sum(seen.values()) if seen else 1.0)
+        out = []
+        for own_, low in zip(kept, lower, strict=True):
+            total = sum(own_.values())
+            out.append((1 - max(rest)) * (own_.get(sign, 0) / total if total else low) + max(rest) * low)
+        return out
+
+    words = ["bad", "gold", "baad", "zebra", "badgood", "x"]
+    want = []
+    for w in words:
+        w = f"^{w}^"
+        ps = [p(w[max(0, i - toxicity.ORDER) : i], w[i]) for i in range(1, len(w))]
+        want.append(sum(math.log(a) - math.log(b) for a, b in ps))
+    assert model.differences(words) == pytest.approx(want, abs=1e-4)
+    for context in ["", "^", "^b", "ba", "^ba", "zz", "old"]:
+        for one in zip(*(p(context, s) for s in [*signs, "?"]), strict=True):
+            assert sum(one) == pytest.approx(1)
 
 
 def test_toxicity_of_a_sample_keeps_the_share_of_all_labels(spark):
@@ -105,8 +171,6 @@ class PlainKatz:
     """Katz backoff over dictionaries, recursive, for one corpus of token lists."""
 
     def __init__(self, corpus, order):
-        import numpy as np
-
         self.order = order
         self.counts = [Counter() for _ in range(order + 1)]
         for tokens in corpus:
@@ -126,8 +190,6 @@ class PlainKatz:
         return n * (self.ratios[k][n] if n < len(self.ratios[k]) else 1.0)
 
     def p(self, word, context):
-        import numpy as np
-
         if not context:
             return float(self.one.p(np.array([self.counts[1][word,]]))[0])
         k = len(context) + 1
@@ -165,8 +227,6 @@ def test_katz_against_recursion(spark, order):
 
 
 def test_katz_sums_to_one():
-    import numpy as np
-
     of = np.array([50, 20, 10, 5, 3, 2])
     u = katz.Unigrams(50 + 40 + 30 + 20 + 15 + 12, 90, of)
     assert sum(of[r - 1] * u.p(np.array([r]))[0] for r in range(1, 7)) + u.unknown == pytest.approx(1)
@@ -470,7 +530,6 @@ def test_decontamination_item_ids(spark):
 
 
 def test_packing(spark, texts):
-    import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
