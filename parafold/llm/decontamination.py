@@ -7,8 +7,8 @@ shingle, so windows are taken where a document has a shingle of the benchmark,
 aligned to it.  Each window and item gets a 64-bit weighted SimHash.  The index
 cuts it into ``BLOCKS`` blocks and lists every value that is up to ``FLIPS`` bits
 away too: two fingerprints at a distance below ``(FLIPS + 1) * BLOCKS`` have a
-block that differs in so many bits at most, so all items within ``RADIUS`` are
-found.  Those whose weights allow it are verified by the weighted Jaccard similarity of the multisets of shingles.
+block that differs in so many bits at most, so all items of the window's size
+within ``RADIUS`` are found.  Those whose weights allow it are verified by the weighted Jaccard similarity of the multisets of shingles.
 
 Defined results.  A null or empty text has no match.  An item, or a document,
 of fewer than five words has no shingle and matches nothing.  Of several items
@@ -97,10 +97,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
     cut = work.save(cut.withColumn("fingerprint", F.expr(simhash_sql("shingles"))), "cut")
     # Candidates within the radius, by the blocks of the index.
     weight = "aggregate(shingles, 0L, (s, x) -> s + x.w)"
-    prints = items.select("item", F.col("fingerprint").alias("item_print"), F.expr(weight).alias("item_weight"))
-    index = prints.select("item", "item_print", "item_weight", F.explode(block_keys("item_print", True)).alias("k"))
+    prints = items.select("item", "n_words", F.col("fingerprint").alias("item_print"), F.expr(weight).alias("item_weight"))
+    index = prints.select("item", "n_words", "item_print", "item_weight", F.explode(block_keys("item_print", True)).alias("k"))
     probes = cut.select("row_key", "start", "n_words", "fingerprint", F.expr(weight).alias("weight"), F.explode(block_keys("fingerprint", False)).alias("k"))
-    near = probes.join(index, "k").where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = probes.join(index, ["k", "n_words"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     # A similarity is not above the ratio of the weights.
     near = near.where(F.least("weight", "item_weight") >= F.greatest("weight", "item_weight") * (threshold - 1e-9))
     near = work.save(near.select("row_key", "start", "n_words", "item").distinct(), "near")
@@ -120,9 +120,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any window like a benchmark item."""
-    leaked = find_leaks(docs, benchmark).select(F.col("row_key").alias("_leaked")).distinct()
-    return docs.join(leaked, row_key() == F.col("_leaked"), "left_anti")
+    """The rows of ``docs`` without any window like a benchmark item.
+
+    Rows that repeat id and text are dropped or kept together; a null or empty
+    text is kept, and so is everything where the benchmark is empty.
+    """
+    leaked = find_leaks(docs, benchmark).select("row_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("row_key"))
+    return rows.join(leaked, "row_key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,7 +353,8 @@ def tokenize(docs: DataFrame, tokenizer: str, work: Scratch, capacity: int = CAP
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, step_limit: int = STEP_LIMIT) -> DataFrame:
     """Pieces of ``docs`` with the sequence and the offset of each.
 
-    Ranks come from counts by task and length, so that pieces of one length,
+    Every row is packed, repeated ones and those without an id too; a null or
+    empty text is the closing id alone.  Ranks come from counts by task and length, so that pieces of one length,
     however many, never meet in one task.
     """
     spark = docs.sparkSession

@@ -286,7 +286,12 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that neither the base rule nor a learned one rejects."""
+    """The rows of ``docs`` that neither the base rule nor a learned one rejects.
+
+    Each row is judged by its text alone, so that repeated rows go or stay
+    together; a null or empty text has too few words and goes.  Without labels
+    of both kinds only the base rule holds.
+    """
     judged = judge(docs.select(F.struct("*").alias("row"), "text"), learn(docs, labels))
     return judged.where("verdict.kept").select("row.*")
 

@@ -4,9 +4,11 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from parafold.llm import decontamination, jaccard, lines, pii, quality
+from parafold.llm import decontamination, jaccard, katz, lines, packing, pii, quality, substrings, toxicity, warc
+from parafold.scratch import Scratch
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, verdict string, lines string, row_key string"
+EXTRA = "verdict lines row_key class_id shared row key _leaked k1 at gone score toxic kind chunk part".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 ROWS = [
     (1, None), (2, ""), (3, "  \n\t"), (4, ITEM + "\nlast line of it"), (4, ITEM + "\nlast line of it"), (None, "no id here but some words in it and more of them\n" + ITEM), (5, "x"), (6, "word " * 30000), (7, "ünï 😀 code"),
@@ -15,7 +17,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(d, t, "en", "s", 0, "v", "l", "r") for d, t in ROWS], DOCS)
+    return spark.createDataFrame([(d, t, "en", "s", 0, *EXTRA) for d, t in ROWS], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +54,72 @@ def test_near_copies(docs):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_one_id(spark):
+    """Rows of one id with different texts are documents of their own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(4, text, "a"), (4, "another text " + text[::-1], "b"), (3, text + " end", "c"), (4, text, "d"), (None, "no id", "e"), (None, "no id", "e")]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in out) == [(0, "no id"), (3, text[:7]), (4, "another")]
+
+
+def test_recall_out_of_reach():
+    with pytest.raises(ValueError):
+        jaccard.choose_bands(0.01, 0.9999)
+
+
+def test_toxicity_of_edges(docs, labels):
+    found = docs.select("doc_id", toxicity.score(docs, toxicity.learn(docs, labels)).alias("s")).collect()
+    assert len(found) == len(ROWS) and all(0 <= r.s <= 1 for r in found)
+    assert len({r.s for r in found if r.doc_id in (1, 2, 3)}) == 1
+    assert len({r.s for r in found if r.doc_id == 4}) == 1
+    for none in (labels.limit(0), labels.where("toxic = 1")):
+        assert toxicity.learn(docs, none) is None and {r.s for r in docs.select(toxicity.score(docs, None).alias("s")).collect()} == {0.0}
+    assert docs.limit(0).select(toxicity.score(docs, toxicity.learn(docs, labels))).count() == 0
+
+
+def test_katz_of_edges(docs):
+    out = katz.score_by_katz(docs, F.col("doc_id") == 7).collect()
+    got = sorted(((r.doc_id or 0), r.n_tokens, r.held_out) for r in out)
+    assert got == sorted([(1, 1, False), (2, 1, False), (3, 1, False), (4, 19, False), (4, 19, False), (0, 27, False), (5, 2, False), (6, 30001, False), (7, 4, True)])
+    assert all(r.score < 0 for r in out)
+
+
+def test_substrings_of_edges(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:60]) + "\n" + " ".join(words[60:])), (3, None), (4, ""), (5, " ".join(words[:49])), (6, "word " * 30000)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, chunk string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: (120, 0), 2: (120, 120), 3: (0, 0), 4: (0, 0), 5: (49, 0), 6: (30000, 0)}
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_warc_of_edges(spark):
+    rows = [(1, "http://a.b/x", None), (2, None, ""), (3, "http://a.b/x", "<p>ü</p>"), (4, "http://c.d", "<p>ü</p>"), (5, "http://c.d", "x" * 300000)]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()}
+    assert got == {1: (0, "revisit", 2), 2: (0, "response", None), 3: (9, "revisit", 4), 4: (9, "response", None), 5: (300000, "response", None)}
+    assert warc.archive_and_read(pages.limit(0)).count() == 0
+
+
+def test_packing_plans():
+    """No more sequences than best fit, all pieces placed; the search finds what best fit misses."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    for _ in range(40):
+        counts = Counter(rng.randint(1, 100) for _ in range(rng.randint(1, 60)))
+        plan = packing.plan_fillings(counts, 100, 20_000)
+        assert all(sum(f) <= 100 for f, _ in plan) and sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 100))
+        placed = Counter()
+        for f, n in plan:
+            for s in f:
+                placed[s] += n
+        assert placed == counts
+    hard = Counter({44: 2, 24: 2, 22: 2, 21: 2, 17: 2, 8: 2, 6: 4})
+    assert sum(n for _, n in packing.plan_fillings(hard, 100)) == 3
+
+
 def test_leaks(docs, benchmark):
     out = decontamination.drop_leaks(docs, benchmark)
     assert out.columns == docs.columns
@@ -72,6 +140,7 @@ def test_packing_of_edges(spark, docs):
     out = corpus_pipeline.packing(spark, docs, "")
     whole = out.groupBy("doc_id", "start").agg(F.count("*").alias("n"))
     assert {r.doc_id for r in whole.collect()} == {None, 1, 2, 3, 4, 5, 6, 7}
+    assert corpus_pipeline.packing(spark, docs.limit(0), "").count() == 0
 
 
 def test_pipeline(spark):
