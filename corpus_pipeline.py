@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parafold.llm.decontamination import drop_leaks
@@ -21,27 +20,51 @@ from parafold.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor a learned rule rejects."""
+    """Documents that neither the base rule nor a learned rule rejects.
+
+    A null or empty text has too few words and goes; repeated rows go or stay
+    together; without labels of both kinds only the base rule holds.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that stay; those that lost all words go."""
+    """Documents with the lines that stay; those that lost all words go.
+
+    Of equal or alike lines that of the least (doc_id, line) stays, null ids
+    last.  Texts without words, null ones too, have no lines to lose and stay;
+    rows that repeat id and text lose the same lines.
+    """
     return dedup_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id.
+
+    Rows that repeat id and text are one document.  Rows without an id, or with
+    one that another text has too, come after all others, by a hash of the row.
+    Texts without words match nothing and stay.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage like a benchmark item."""
+    """Documents without a passage like a benchmark item.
+
+    Null and empty texts have no passage and stay; repeated rows go or stay
+    together; an empty benchmark drops nothing.
+    """
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is in which sequence."""
+    """Where each piece of each document is in which sequence.
+
+    Every row is packed, repeated ones one by one; a null or empty text is the
+    closing id alone.  The tokenizer's path is a parameter of ``pack``.
+    """
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -59,8 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, over the documents of ``sf_dir``; each is written and read again."""
-    work = Scratch(spark, "pipeline")
+    work, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
