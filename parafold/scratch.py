@@ -80,6 +80,8 @@ class Scratch:
             spark__sql__execution__arrow__maxRecordsPerBatch=arrow_rows,
             spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
             spark__sql__parquet__compression__codec="zstd",
+            # Plans of many expressions are long; the driver keeps their text for each job.
+            spark__sql__maxPlanStringLength="20000",
         ):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
