@@ -147,3 +147,35 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     used = rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert 0 < used <= 2048 and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_copies", "decontamination", "packing"]
+
+
+def test_pipeline_of_known_cases(spark, tmp_path):
+    """Each stage takes what it is for, and leaves the rest."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    clean = {i: [[word() for _ in range(20)] for _ in range(3)] for i in range(30)}
+    text = lambda lines: "\n".join(" ".join(x) for x in lines)
+    docs = {i: text(x) for i, x in clean.items()}
+    docs[100] = docs[1]  # all lines are those of 1
+    docs[101] = text([clean[2][0], [*clean[2][1][:9], "other", *clean[2][1][10:]], clean[2][2]])  # a word changed
+    flat = sum(clean[3], [])
+    docs[102] = text([flat[:10], flat[10:30], flat[30:50], flat[50:]])  # other lines, the same words
+    item = [word() for _ in range(30)]
+    docs[103] = text([[*(word() for _ in range(15)), *item, *(word() for _ in range(15))]])
+    docs[104] = "too short"
+    docs[105] = "the same again " * 30
+    docs[106] = text([clean[4][0], *([word() for _ in range(20)] for _ in range(2))])  # one line of 4, two of its own
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left, want = frame, set(docs)
+    for (_, stage), gone in zip(corpus_pipeline.STAGES[:-1], [{104, 105}, {100, 101}, {102}, {103}], strict=True):
+        left = stage(spark, left, str(tmp_path))
+        want -= gone
+        kept = {r.doc_id: r.text for r in left.collect()}
+        assert set(kept) == want and left.columns == frame.columns
+    assert all(kept[d] == docs[d] for d in want - {106}) and kept[106] == "\n".join(docs[106].split("\n")[1:])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
