@@ -208,11 +208,9 @@ class Recursion:
         single = Asked(tokens.keys, parts)
         self.counts = single.read(answers[0], np.int64, np.int8)[0][single.inverse]
         self.p = unigrams.p(self.counts)
-        for order in range(2, len(answers) // 2 + 2):
+        for order in range(2, (len(answers) + 3) // 2):  # those whose contexts are answered too
             grams, contexts = Asked(tokens.grams(order), parts), Asked(tokens.context(order), parts)
             counts = grams.read(answers[2 * order - 3], np.int64, np.int8)[0][grams.inverse]
-            if 2 * order - 2 == len(answers):  # its contexts are still to be asked about
-                break
             below, weight = (x[contexts.inverse] for x in contexts.read(answers[2 * order - 2], np.int64, np.float64))
             seen, known = discounted(counts, ratios[order - 2]) / np.maximum(below, 1), below > 0
             self.p = np.where(counts > 0, seen, np.where(known, weight, 1.0) * self.p)
