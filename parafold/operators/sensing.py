@@ -156,3 +156,32 @@ def nearest_error(points: DataFrame, track: DataFrame, reach: float, x: str = "x
     far = F.sqrt(F.pow(F.col("px") - F.col("tx"), 2) + F.pow(F.col("py") - F.col("ty"), 2))
     near = own.join(there, ["cx", "cy"]).where(far <= reach).groupBy(key).agg(F.min(far).alias("distance"))
     return points.select(key).distinct().join(near, key, "left")
+
+
+def ellipsoid_fit(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> tuple[list[float], list[float]]:
+    """(centre, radii, largest first) of the ellipsoid through the points, by least squares.
+
+    The ten monomials of a point are a row of the design matrix; its 55 products
+    are summed in Spark, and the driver solves for the least eigenvector of that
+    small matrix.  Fewer than nine points, or points on no ellipsoid, are an error.
+    """
+    import numpy as np
+
+    a, b, c = F.col(x).cast("double"), F.col(y).cast("double"), F.col(z).cast("double")
+    terms = [a * a, b * b, c * c, 2 * a * b, 2 * a * c, 2 * b * c, 2 * a, 2 * b, 2 * c, F.lit(1.0)]
+    pairs = [(i, j) for i in range(10) for j in range(i, 10)]
+    known = rows.where(a.isNotNull() & b.isNotNull() & c.isNotNull())
+    sums = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    if sums["n"] < 9:
+        raise ValueError("an ellipsoid needs nine points")
+    m = np.zeros((10, 10))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = sums[f"s{i}_{j}"]
+    scale = 1 / np.sqrt(np.diag(m))
+    v = np.linalg.eigh(m * scale[:, None] * scale[None, :])[1][:, 0] * scale
+    form = np.array([[v[0], v[3], v[4]], [v[3], v[1], v[5]], [v[4], v[5], v[2]]])
+    centre = -np.linalg.solve(form, v[6:9])
+    squares = (centre @ form @ centre - v[9]) / np.linalg.eigvalsh(form)
+    if (squares <= 0).any():
+        raise ValueError("the points are on no ellipsoid")
+    return centre.tolist(), sorted(np.sqrt(squares).tolist(), reverse=True)

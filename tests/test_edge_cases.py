@@ -131,6 +131,21 @@ def test_inverse_fit(spark):
     assert [r.true_x for r in sensing.apply_inverse_fit(rows, singular).collect()] == [None, None]
 
 
+def test_ellipsoid(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(300, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    points = (p * [3.0, 2.0, 1.0]) @ turn + [10.0, -4.0, 0.5]
+    rows = spark.createDataFrame([tuple(map(float, q)) for q in points] + [(None, 1.0, 1.0)], "x double, y double, z double")
+    centre, radii = sensing.ellipsoid_fit(rows)
+    assert centre == pytest.approx([10.0, -4.0, 0.5], abs=1e-6) and radii == pytest.approx([3.0, 2.0, 1.0], abs=1e-6)
+    with pytest.raises(ValueError):
+        sensing.ellipsoid_fit(rows.limit(5))
+
+
 def test_small_matrices():
     assert sensing.condition_number([[2, 0], [0, 1]]) == pytest.approx(2) and sensing.distance_law(5, 15) == pytest.approx(27)
 
