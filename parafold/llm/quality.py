@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     rows = (
         docs.select("doc_id", "text")
-        .join(known, "doc_id")
+        .join(F.broadcast(known), "doc_id")  # bounded by the sample, some bytes each
         .select("doc_id", "quality", text_stats("text").alias("s"))
         .select("doc_id", "quality", "s.*")
         .select("doc_id", "quality", *[F.expr(f"double({sql})").alias(name) for name, sql in FEATURES.items()])
