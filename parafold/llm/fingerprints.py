@@ -41,7 +41,7 @@ from .words import array_slices, byte_buffers, split_words, text_slices
 
 BITS, LONGEST_RUN, HEAVIEST = 256, 2, 15
 #: Bits by which fingerprints that ``neighbours`` links may differ.
-RADIUS = 8
+RADIUS = 6
 #: Terms of heaviest weight whose votes fit a counter of eight bits.
 TOGETHER = 255 // HEAVIEST
 #: Terms whose votes are spread out at a time.
@@ -226,17 +226,18 @@ def neighbours(marks: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Da
     """
     if not 0 <= radius <= BITS // 8 - 2:
         raise ValueError(f"radius {radius} leaves no whole bytes for blocks")
-    def table(rows: DataFrame, name: str, word: str) -> DataFrame:
-        own = rows.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
-        wide = own.select(F.col("fingerprint").alias(name), *[w.alias(f"{word}{i}") for i, w in enumerate(_words64("fingerprint"))], block_keys(F.col("fingerprint"), radius).alias(f"{name}_keys"))
-        return wide.select("*", F.explode(f"{name}_keys").alias("key"))
 
-    q, f = table(queries, "query", "q"), table(marks, "found", "f")
-    distance = sum((F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"f{i}"))) for i in range(BITS // 64)), F.lit(0))
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias(name)).distinct()
+        return own.select(name, F.explode(block_keys(F.col(name), radius)).alias("key"))
+
+    # Rows that are shuffled have a key and a fingerprint; what they share is found where they meet.
+    joined = table(queries, "query").join(table(marks, "found"), "key")
+    distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_words64("query"), _words64("found"), strict=True)), F.lit(0))
+    near = joined.select("key", "query", "found", distance.alias("distance")).where(F.col("distance") <= radius)
     # Keys of a table are in its place of the array: the first place where both agree is the one that counts.
-    agree = F.filter(F.zip_with("query_keys", "found_keys", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
-    joined = q.join(f, (q["key"] == f["key"]) & (distance <= radius) & (F.get(agree, F.lit(0)) == q["key"]))
-    return joined.select("query", "found", distance.alias("distance"))
+    both = F.zip_with(block_keys(F.col("query"), radius), block_keys(F.col("found"), radius), lambda a, b: F.when(a == b, a))
+    return near.where(F.get(F.filter(both, lambda x: x.isNotNull()), F.lit(0)) == F.col("key")).select("query", "found", "distance")
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +249,6 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = own.groupBy(F.col("fingerprint").alias("found")).agg(F.count(F.lit(1)).alias("n"))
     near = found.join(copies, "found").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_near"))
     shown = lambda c: F.lower(F.hex(c)).alias(c)
-    out = own.withColumn("asked", F.when(F.col("doc_id") % QUERIES == 0, F.col("fingerprint")))
-    return out.join(near.withColumnRenamed("fingerprint", "asked"), "asked", "left").select(
-        "doc_id", "n_chars", shown("edited_sha256"), shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near"
-    )
+    asked = F.coalesce(F.col("doc_id") % QUERIES == 0, F.lit(False))
+    out = own.where(asked).join(near, "fingerprint", "left").unionByName(own.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+    return out.select("doc_id", "n_chars", shown("edited_sha256"), shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near")
