@@ -59,5 +59,8 @@ def after_prefix(text: Column, prefix: str) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text, without line feeds at its ends."""
-    return F.split(F.regexp_replace(text, r"^\n+|\n+$", ""), r"\r?\n")
+    """The lines of a text without line feeds at its ends; any Unicode line boundary ends a line, and none is left empty at the end."""
+    plain = F.regexp_replace(text, r"^\n+|\n+$", "")
+    parts = F.split(plain, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    # A boundary at the end, or an empty text, has no line after it.
+    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

@@ -2,6 +2,12 @@
 
 Order is the column ``idx``.  Every edit is a projection, a filter, or a window
 or aggregate by document, so that documents are spread over tasks.
+
+Defined results.  A null text has no prefix and stays as it is; a blank one is
+like any other.  A null key is a document of its own for edits that renumber or
+delete, and has no match to replace or to insert after.  Of rows with the same
+key and idx any may count as the first.  Empty tables give empty results.  Other
+columns are kept, whatever their names; new rows have null in them.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import starts_with_any, strip
+from .ordering import key_struct
 
 
 def rewrite_by_prefix(rows: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -25,26 +32,35 @@ def rewrite_by_prefix(rows: DataFrame, rules: Sequence[tuple[str, str]]) -> Data
 
 
 def drop_repeats(rows: DataFrame, key: str = "doc_id", least: int = 100, exempt: Sequence[str] = ()) -> DataFrame:
-    """Keep the first of equal stripped texts of ``least`` characters or more in a document."""
+    """Keep the first of equal stripped texts of ``least`` characters or more in a document.
+
+    Nulls, shorter texts and those with an exempt prefix stay and are not
+    remembered.  Repeats meet by a hash of the text, in one aggregate.
+    """
     plain = strip("text")
-    free = (F.length(plain) < least) | starts_with_any(plain, exempt)
-    long = rows.where(~free)
-    first = W.partitionBy(key, strip("text")).orderBy("idx")
-    return rows.where(free | F.col("text").isNull()).unionByName(long.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    free = F.coalesce((F.length(plain) < least) | starts_with_any(plain, exempt), F.lit(True))
+    own = rows.select(F.struct("*").alias("row"), free.alias("free"), key_struct(key).alias("g"), F.col("idx").alias("at"), plain.alias("plain"))
+    # The least row of a group, by place; an aggregate is combined before it is shuffled, a window is not.
+    first = own.where(~F.col("free")).groupBy("g", "plain").agg(F.min_by("row", "at").alias("row"))
+    return own.where("free").select("row.*").unionByName(first.select("row.*"))
 
 
 def delete_range(rows: DataFrame, start: str, end: str, key: str = "doc_id") -> DataFrame:
-    """Delete from the latest start marker before the first end marker that has one; the end stays."""
+    """Delete from the latest start marker before the first end marker that has one; the end stays.
+
+    Without such a pair a document stays as it is.
+    """
     plain = strip("text")
-    before = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    marked = rows.select(key, "idx", F.startswith(plain, F.lit(start)).alias("s"), F.startswith(plain, F.lit(end)).alias("e")).where("s OR e")
-    opened = marked.withColumn("from", F.max(F.when(F.col("s"), F.col("idx"))).over(before)).where("e AND from IS NOT NULL")
-    ranges = opened.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("idx", "from")).alias("_r"))
-    inside = (F.col("idx") >= F.col("_r.from")) & (F.col("idx") < F.col("_r.idx"))
-    return rows.join(ranges, F.col(key) == F.col("_key"), "left").where(F.col("_r").isNull() | ~inside).drop("_key", "_r")
+    before = W.partitionBy("g").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    own = rows.select(F.struct("*").alias("row"), key_struct(key).alias("g"), F.col("idx").alias("at"), F.startswith(plain, F.lit(start)).alias("s"), F.startswith(plain, F.lit(end)).alias("e"))
+    opened = own.where("s OR e").select("g", "at", "e", F.max(F.when(F.col("s"), F.col("at"))).over(before).alias("from")).where("e AND from IS NOT NULL")
+    ranges = opened.groupBy("g").agg(F.min(F.struct("at", "from")).alias("r"))
+    inside = (F.col("at") >= F.col("r.from")) & (F.col("at") < F.col("r.at"))
+    return own.join(ranges, "g", "left").where(F.col("r").isNull() | ~F.coalesce(inside, F.lit(False))).select("row.*")
 
 
 def delete_by_prefix(rows: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """Delete the paragraphs whose stripped text begins with one of ``prefixes``; without prefixes none."""
     return rows.where(~F.coalesce(starts_with_any(strip("text"), prefixes), F.lit(False)))
 
 
@@ -70,24 +86,54 @@ def _items(items: Sequence[str]) -> Column:
     return F.posexplode(F.array(*[F.lit(x) for x in items]))
 
 
-def _renumber(rows: DataFrame, key: str) -> DataFrame:
-    order = W.partitionBy(key).orderBy("_at", "_sub")
-    return rows.withColumn("idx", F.row_number().over(order) - 1).drop("_at", "_sub")
-
-
 def insert_after(rows: DataFrame, prefix: str, items: Sequence[str], key: str = "doc_id") -> DataFrame:
-    """Put the items, in order, after the first match of each document and number anew."""
+    """Put the items, in order, after the first match of each document and number anew.
+
+    A document without a match is numbered anew only.
+    """
     if not items:
         return rows
-    own = rows.withColumn("_at", F.col("idx")).withColumn("_sub", F.lit(-1))
-    new = first_match(rows, prefix, key).select(key, F.col("first").alias("_at"), _items(items).alias("_sub", "text")).withColumn("idx", F.col("_at"))
-    return _renumber(own.unionByName(new, allowMissingColumns=True), key)
+    own = rows.select(F.struct("*").alias("row"), F.col(key).alias("g"), F.col("idx").alias("at"), F.lit(-1).alias("sub"))
+    new = first_match(rows, prefix, key).where(F.col(key).isNotNull()).select(F.col(key).alias("g"), F.col("first").alias("at"), _items(items).alias("sub", "new"))
+    both = own.unionByName(new, allowMissingColumns=True)
+    place = (F.row_number().over(W.partitionBy("g").orderBy("at", "sub")) - 1).cast(rows.schema["idx"].dataType)
+    return both.withColumn("place", place).select(*[_filled(c, key) for c in rows.columns])
+
+
+def _filled(column: str, key: str) -> Column:
+    """A column of an old row, or what a new row has there."""
+    old = F.col("row").getField(column)
+    if column == "idx":
+        return F.col("place").alias(column)
+    return {"text": F.coalesce(F.col("new"), old), key: F.col("g")}.get(column, old).alias(column)
 
 
-def append_rows(rows: DataFrame, items: Sequence[str], key: str = "doc_id") -> DataFrame:
-    """Put the items at the end of each document."""
+def append_rows(rows: DataFrame, items: Sequence[str], key: str = "doc_id", **values: Column) -> DataFrame:
+    """Put the items at the end of each document; ``values`` are other columns of the new rows."""
     if not items:
         return rows
-    last = rows.groupBy(key).agg(F.max("idx").alias("_last"))
-    new = last.select(key, "_last", _items(items).alias("_sub", "text"))
-    return rows.unionByName(new.select(key, (F.col("_last") + 1 + F.col("_sub")).cast(rows.schema["idx"].dataType).alias("idx"), "text"), allowMissingColumns=True)
+    last = rows.groupBy(F.col(key).alias("g")).agg(F.max("idx").alias("last"))
+    new = last.select("g", "last", _items(items).alias("sub", "item"))
+    place = (F.coalesce(F.col("last"), F.lit(-1)) + 1 + F.col("sub")).cast(rows.schema["idx"].dataType)
+    return rows.unionByName(new.select(F.col("g").alias(key), place.alias("idx"), F.col("item").alias("text"), *[v.alias(c) for c, v in values.items()]), allowMissingColumns=True)
+
+
+def runs_of(text: Column, bold_prefix: str | None = None) -> Column:
+    """Runs (text, bold) of a paragraph: a bold prefix and the rest, if it begins with the prefix, else one plain run; null for null."""
+    plain = F.struct(text.alias("text"), F.lit(False).alias("bold"))
+    if not bold_prefix:
+        return F.when(text.isNotNull(), F.array(plain))
+    rest = F.substring(text, len(bold_prefix) + 1, 2**31 - 1)
+    split = F.array(F.struct(F.lit(bold_prefix).alias("text"), F.lit(True).alias("bold")), F.struct(rest.alias("text"), F.lit(False).alias("bold")))
+    return F.when(F.startswith(text, F.lit(bold_prefix)), split).when(text.isNotNull(), F.array(plain))
+
+
+def append_paragraphs(rows: DataFrame, items: Sequence[str], style: str | None = None, bold_prefix: str | None = None, key: str = "doc_id") -> DataFrame:
+    """Put paragraphs of a style at the end of each document, with ``runs`` of a bold prefix and the rest.
+
+    ``rows`` may have ``style`` and ``runs``; a paragraph without runs has its text
+    as one plain run.  A list of items with the style of a bullet is a list.
+    """
+    own = rows if "style" in rows.columns else rows.withColumn("style", F.lit(None).cast("string"))
+    own = own.withColumn("runs", F.coalesce("runs", runs_of(F.col("text")))) if "runs" in own.columns else own.withColumn("runs", runs_of(F.col("text")))
+    return append_rows(own, items, key, style=F.lit(style).cast("string"), runs=runs_of(F.col("item"), bold_prefix))

@@ -316,8 +316,8 @@ def noise_sweep(rows: DataFrame, factors: Sequence[float], acceleration: float,
     A run has diverged if the root mean square of its innovations is above
     ``bound`` or no number.
     """
-    own = rows.select(F.struct(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("z"), dt.cast("double").alias("dt")).alias("r"), F.explode(F.array(*[F.lit(float(f)) for f in factors])).alias("factor"))
-    own = own.select("r.*", "factor")
+    own = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("z"), dt.cast("double").alias("dt"))
+    own = own.select("*", F.explode(F.array(*[F.lit(float(f)) for f in factors])).alias("factor"))
     run = height_kalman(own, acceleration, noise, F.col("dt"), "z", ["key", "factor"], [f"o{i}" for i in range(len(order))], factor=F.col("factor"), block=block)
     rms = F.sqrt(F.avg(F.col("innovation") * F.col("innovation")))
     out = run.groupBy(F.col("key").alias(key), "factor").agg(F.count("innovation").alias("n"), rms.alias("rms_innovation"))

@@ -36,13 +36,14 @@ def key_struct(key: str | Sequence[str] | None) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)]) if names else F.struct(F.lit(0).alias("k0"))
 
 
-def number_rows(rows: DataFrame, order: Sequence[str | Column], key: str | Sequence[str] | None = None, name: str = "number") -> DataFrame:
-    """``rows`` with ``name``: 0, 1, ... in ``order`` within each key, or within the whole table."""
+def number_rows(rows: DataFrame, order: Sequence[str | Column], key: str | Sequence[str] | None = None, name: str = "number", descending: bool = False) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... in ``order`` within each key, or within the whole table; ``descending`` turns the order round."""
     _new(rows, name)
     spark, work = rows.sparkSession, Scratch(rows.sparkSession, "numbers")
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = rows.select(F.struct("*").alias("row"), key_struct(key).alias("key"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(sort)]).alias("place"))
-    by = [F.col(f"key.k{i}") for i in range(len(ranged.schema["key"].dataType))] + [F.col(f"place.o{i}") for i in range(len(sort))]
+    places = [F.col(f"place.o{i}") for i in range(len(sort))]
+    by = [F.col(f"key.k{i}") for i in range(len(ranged.schema["key"].dataType))] + [p.desc() if descending else p for p in places]
     ranged = ranged.repartitionByRange(*by).sortWithinPartitions(*by)
     at = F.monotonically_increasing_id().bitwiseAND(F.lit(_NTH))
     # Partitions and places are read from this one table, so that they belong together.

@@ -7,11 +7,14 @@ but for ``report``, which always has its lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import number_rows
+
 
 def has_keys(rows: DataFrame, names: Sequence[str]) -> bool:
     """Whether a table has all columns ``names``: the key test of a record, once for the whole table."""
@@ -34,29 +37,35 @@ def item_map(rows: DataFrame, order: str) -> DataFrame:
 
 
 def fill_template(keyed: DataFrame, template: str, keys: Mapping[str, str], key: str = "key", value: str = "value") -> DataFrame:
-    """One row ``text``: ``template`` with ``{name}`` replaced by the value of ``keys[name]``; a missing key is an error."""
-    found = keyed.where(F.col(key).isin(list(keys.values()))).agg(*[F.max(F.when(F.col(key) == k, F.col(value).cast("string"))).alias(n) for n, k in keys.items()])
-    text = F.lit(template)
-    for n, k in keys.items():
-        text = F.replace(text, F.lit("{" + n + "}"), F.coalesce(F.col(n), F.raise_error(F.lit(f"no such key: {k}")).cast("string")))
-    return found.select(text.alias("text"))
+    """One row ``text``: ``template`` with ``{name}`` replaced by the value of ``keys[name]``; a missing key is an error.
+
+    The template is cut once, so that braces in a value stay.  A null value is
+    empty; names that ``keys`` does not have stay as they are.
+    """
+    asked = list(dict.fromkeys(keys.values()))
+    number = {k: i for i, k in enumerate(asked)}
+    hits = [F.max(F.when(F.col(key) == k, F.struct(F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v")))).alias(f"k{i}") for i, k in enumerate(asked)]
+    found = keyed.where(F.col(key).isin(asked)).agg(*hits, F.lit(0).alias("one"))
+    parts = []
+    for piece in re.split(r"(\{[^{}]*\})", template):
+        name = piece[1:-1] if piece.startswith("{") else None
+        if name in keys:
+            hit = F.col(f"k{number[keys[name]]}")
+            parts.append(F.when(hit.isNotNull(), hit["v"]).otherwise(F.raise_error(F.lit(f"no such key: {keys[name]}")).cast("string")))
+        else:
+            parts.append(F.lit(piece))
+    return found.select(F.concat(*parts).alias("text"))
 
 
 def table_rows(header: Sequence[str], body: DataFrame, order: str) -> DataFrame:
-    """(row, col, text): a header as row 0 and then the rows of ``body`` in ``order``.
+    """(row, col, text): a header as row 0 and then the rows of ``body`` in ``order``, null first.
 
     ``body`` has an array ``cells``; one with more cells than the header is an
-    error, one with fewer leaves the rest blank.  Rows are numbered by a sort of
-    the order column alone; cells are not gathered.
+    error, one with fewer, or null, leaves the rest blank.  Rows are numbered by
+    ranges that are written once; cells are not gathered.
     """
     spark, n = body.sparkSession, len(header)
-    ordered = body.select(F.col(order).alias("place"), "cells")
-    # Row numbers from counts of range partitions: no window over the whole table.
-    ranged = ordered.repartitionByRange("place").sortWithinPartitions("place").select("place", "cells", F.monotonically_increasing_id().alias("id"))
-    part = F.shiftright("id", 33)
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    numbered = ranged.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("row"), "cells")
+    numbered = number_rows(body.select(F.col(order).alias("place"), "cells"), ["place"], name="before").select((F.col("before") + 1).alias("row"), "cells")
     ragged = F.raise_error(F.lit(f"a row has more than {n} cells")).cast("array<string>")
     whole = F.when(F.size("cells") > n, ragged).otherwise(F.expr(f"transform(sequence(0, {n - 1}), i -> coalesce(get(cells, i), ''))"))
     cells = numbered.select("row", F.posexplode(whole).alias("col", "text"))
@@ -76,8 +85,12 @@ def listed(rows: DataFrame, value: str, order: str, key: str | None = None, most
     return grouped.agg(F.when(sizes > most, F.raise_error(F.lit(f"more than {most} values")).cast("array<string>")).otherwise(made).alias("values"))
 
 
-def report(paragraphs: DataFrame, terms: Sequence[str], keys: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
-    """(section, ord, name, n): paragraph count, how often keys occur, missing terms, headings."""
+def report(paragraphs: DataFrame, terms: Sequence[str], keys: Sequence[str], prefixes: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
+    """(section, ord, name, n): paragraph count, how often keys occur, missing terms, headings, and tables.
+
+    ``cells`` are table cells (doc_id, table_idx, ...); if given, their tables are
+    counted and their texts are searched for the terms, but not for the keys.
+    """
     from ..functions import count_inside, is_heading
 
     text = F.col("text")
@@ -88,4 +101,14 @@ def report(paragraphs: DataFrame, terms: Sequence[str], keys: Sequence[str], pre
     lines = [("paragraphs", 0, "", F.col("n")), ("headings", 0, "", F.col("heads"))]
     lines += [("keyword", i, k, F.col(f"k{i}")) for i, k in enumerate(keys)] + [("found", i, t, F.col(f"t{i}")) for i, t in enumerate(terms)]
     made = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(i).alias("ord"), F.lit(name).alias("name"), n.cast("long").alias("n")) for s, i, name, n in lines])
-    return paragraphs.agg(*sums).select(F.explode(made).alias("x")).select("x.*")
+    out = paragraphs.agg(*sums).select(F.explode(made).alias("x")).select("x.*")
+    if cells is None:
+        return out
+    inside = [F.coalesce(F.max(F.contains(text, F.lit(t)).cast("long")), F.lit(0)) for t in terms]
+    seen = F.array(*[F.struct(F.lit("found").alias("section"), F.lit(i).alias("ord"), F.lit(t).alias("name"), n.alias("n")) for i, (t, n) in enumerate(zip(terms, inside, strict=True))])
+    more = [cells.select("doc_id", "table_idx").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("tables").alias("section"), F.lit(0).alias("ord"), F.lit("").alias("name"), "n")]
+    if terms:
+        more.append(cells.agg(seen.alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    for part in more:
+        out = out.unionByName(part)
+    return out.groupBy("section", "ord", "name").agg(F.max("n").alias("n"))

@@ -6,11 +6,16 @@ Empty inputs give no rows, or one row of nulls where the result is one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from .ordering import key_struct
+from .quantiles import exact_quantiles
+
 #: Equatorial radius in metres and squared eccentricity of WGS 84.
 RADIUS, ECCENTRICITY2 = 6378137.0, 6.69437999014e-3
 
@@ -54,32 +59,49 @@ def tilt_heading(accel: Sequence[Column], field: Sequence[Column]) -> Column:
     return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
 
 
+def _sentence(sentence: Column, kind: str) -> tuple[Column, Column]:
+    """The comma-separated fields of a sentence, and whether it is of the kind with a right checksum."""
+    body = F.regexp_extract(sentence, rf"^\$(..{kind},[^*]*)\*[0-9A-Fa-f]{{2}}\s*$", 1)
+    given = F.conv(F.regexp_extract(sentence, r"\*([0-9A-Fa-f]{2})\s*$", 1), 16, 10).try_cast("int")
+    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
+    return F.split(body, ","), (body != "") & (F.aggregate(codes, F.lit(0), lambda a, b: a.bitwiseXOR(b)) == given)
+
+
+def _degrees(value: Column, side: Column, negative: str) -> Column:
+    raw = value.try_cast("double")
+    whole = F.floor(raw / 100)
+    return (whole + (raw - whole * 100) / 60) * F.when(side == negative, -1.0).otherwise(1.0)
+
+
 def parse_gga(sentence: Column) -> Column:
     """Struct of a GGA sentence: lat, lon (decimal degrees), quality, satellites, hdop, altitude.
 
     Another sentence, a wrong checksum or too few fields give null; an empty
     field is null.
     """
-    body = F.regexp_extract(sentence, r"^\$(..GGA,[^*]*)\*[0-9A-Fa-f]{2}\s*$", 1)
-    given = F.conv(F.regexp_extract(sentence, r"\*([0-9A-Fa-f]{2})\s*$", 1), 16, 10).try_cast("int")
-    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
-    sums = F.aggregate(codes, F.lit(0), lambda a, b: a.bitwiseXOR(b))
-    f = F.split(body, ",")
-
-    def degrees(value: Column, side: Column, negative: str) -> Column:
-        raw = value.try_cast("double")
-        whole = F.floor(raw / 100)
-        return (whole + (raw - whole * 100) / 60) * F.when(side == negative, -1.0).otherwise(1.0)
-
+    f, good = _sentence(sentence, "GGA")
     parsed = F.struct(
-        degrees(F.get(f, F.lit(2)), F.get(f, F.lit(3)), "S").alias("lat"),
-        degrees(F.get(f, F.lit(4)), F.get(f, F.lit(5)), "W").alias("lon"),
+        _degrees(F.get(f, F.lit(2)), F.get(f, F.lit(3)), "S").alias("lat"),
+        _degrees(F.get(f, F.lit(4)), F.get(f, F.lit(5)), "W").alias("lon"),
         F.get(f, F.lit(6)).try_cast("int").alias("quality"),
         F.get(f, F.lit(7)).try_cast("int").alias("satellites"),
         F.get(f, F.lit(8)).try_cast("double").alias("hdop"),
         F.get(f, F.lit(9)).try_cast("double").alias("altitude"),
     )
-    return F.when((body != "") & (sums == given) & (F.size(f) >= 10), parsed)
+    return F.when(good & (F.size(f) >= 10), parsed)
+
+
+def parse_rmc(sentence: Column) -> Column:
+    """Struct of an RMC sentence: valid, lat, lon (decimal degrees), speed (metres a second), course (degrees); else as ``parse_gga``."""
+    f, good = _sentence(sentence, "RMC")
+    parsed = F.struct(
+        (F.get(f, F.lit(2)) == "A").alias("valid"),
+        _degrees(F.get(f, F.lit(3)), F.get(f, F.lit(4)), "S").alias("lat"),
+        _degrees(F.get(f, F.lit(5)), F.get(f, F.lit(6)), "W").alias("lon"),
+        (F.get(f, F.lit(7)).try_cast("double") * (1852 / 3600)).alias("speed"),
+        F.get(f, F.lit(8)).try_cast("double").alias("course"),
+    )
+    return F.when(good & (F.size(f) >= 9), parsed)
 
 
 def usable_fix(quality: Column, satellites: Column, hdop: Column, least: int = 4, worst: float = 5.0) -> Column:
@@ -87,16 +109,28 @@ def usable_fix(quality: Column, satellites: Column, hdop: Column, least: int = 4
     return F.coalesce((quality > 0) & (satellites >= least) & (hdop <= worst), F.lit(False))
 
 
+def gated_sigma(innovation: Column, hdop: Column, base: float, soft: float = 3.0, hard: float = 10.0) -> Column:
+    """Standard deviation to use for a reading: ``base`` times its dilution, widened beyond the soft gate; null beyond the hard one.
+
+    Gates are multiples of that deviation.  From the soft gate on the deviation is
+    what puts the innovation on it.  A null, or a dilution that is not positive,
+    gives null.
+    """
+    sigma = F.when(hdop > 0, hdop * base)
+    size = F.abs(innovation)
+    return F.when(size <= soft * sigma, sigma).when(size <= hard * sigma, size / soft)
+
+
 def local_enu(rows: DataFrame, key: str, order: str, lat: str = "lat", lon: str = "lon", alt: str = "alt") -> DataFrame:
     """``rows`` with east, north, up in metres from the first valid fix of each key, on the local radii of the ellipsoid."""
-    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(alt).isNotNull()
-    origin = rows.where(known).groupBy(F.col(key).alias("key__")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(alt).alias("alt"))).alias("origin__"))
-    joined = rows.join(origin, F.col(key) == F.col("key__"), "left")
-    at = F.radians(F.col("origin__.lat"))
+    own = rows.select(F.struct("*").alias("row"), key_struct(key).alias("g"), F.struct(F.col(order).alias("o"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(alt).alias("alt")).alias("fix"))
+    known = F.col("fix.lat").isNotNull() & F.col("fix.lon").isNotNull() & F.col("fix.alt").isNotNull()
+    joined = own.join(own.where(known).groupBy("g").agg(F.min("fix").alias("origin")), "g", "left")
+    at = F.radians(F.col("origin.lat"))
     w = 1 - ECCENTRICITY2 * F.pow(F.sin(at), 2)
-    east = F.radians(F.col(lon) - F.col("origin__.lon")) * (RADIUS / F.sqrt(w) + F.col("origin__.alt")) * F.cos(at)
-    north = F.radians(F.col(lat) - F.col("origin__.lat")) * (RADIUS * (1 - ECCENTRICITY2) / F.pow(w, 1.5) + F.col("origin__.alt"))
-    return joined.select(*[F.col(c) for c in rows.columns], east.alias("east"), north.alias("north"), (F.col(alt) - F.col("origin__.alt")).alias("up"))
+    east = F.radians(F.col("fix.lon") - F.col("origin.lon")) * (RADIUS / F.sqrt(w) + F.col("origin.alt")) * F.cos(at)
+    north = F.radians(F.col("fix.lat") - F.col("origin.lat")) * (RADIUS * (1 - ECCENTRICITY2) / F.pow(w, 1.5) + F.col("origin.alt"))
+    return joined.select("row.*", east.alias("east"), north.alias("north"), (F.col("fix.alt") - F.col("origin.alt")).alias("up"))
 
 
 def pressure_baseline(rows: DataFrame, key: str, order: str, value: str, first: int, how: str = "median") -> DataFrame:
@@ -124,47 +158,95 @@ def quadratic_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def noise_metrics(rows: DataFrame, key: str, signal: str, truth: str) -> DataFrame:
-    """(key, std, rmse, snr_db) of a signal against its truth."""
+    """(key, std, rmse, snr_db) of a signal against its truth; no ratio where there is no error or no truth."""
     error = F.col(signal) - F.col(truth)
-    power = F.avg(F.col(truth) * F.col(truth)) / F.avg(error * error)
+    power = F.avg(F.col(truth) * F.col(truth)) / F.nullif(F.avg(error * error), F.lit(0.0))
     return rows.groupBy(key).agg(F.stddev_samp(signal).alias("std"), F.sqrt(F.avg(error * error)).alias("rmse"), (10 * F.log10(power)).alias("snr_db"))
 
 
-def distance_law(near: float, far: float, power: int = 3) -> float:
-    """How much weaker a dipole is at ``far`` than at ``near``."""
-    return (far / near) ** power
+def jitter(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """(key, jitter): root mean square of the steps between rows that follow each other; null without two readings in a row."""
+    from .ordering import number_rows, with_lag
 
+    own = rows.select(key_struct(key).alias("g"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    lagged = with_lag(number_rows(own, [f"o{i}" for i in range(len(order))], "g", "i").select("g", "i", "v"), "i", ["v"], "g")
+    step = F.col("v") - F.col("before_v")
+    return lagged.groupBy("g").agg(F.sqrt(F.avg(step * step)).alias("jitter")).select(F.col("g.k0").alias(key), "jitter")
 
-def condition_number(matrix: Sequence[Sequence[float]]) -> float:
-    """Largest over smallest singular value of a small matrix."""
-    import numpy as np
 
-    return float(np.linalg.cond(np.array(matrix, float)))
+def distance_law(near: Column | float, far: Column | float, power: int = 3) -> Column:
+    """How much weaker a dipole is at ``far`` than at ``near``; null where ``near`` is zero."""
+    one = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return F.pow(one(far) / F.nullif(one(near), F.lit(0.0)), F.lit(power))
+
+
+def coverage(rows: DataFrame, axes: Sequence[str] = ("x", "y", "z"), around: int = 12, bands: int = 6) -> DataFrame:
+    """One row: cells, occupied, score, least and most: how evenly directions cover the sphere.
+
+    The sphere is cut into ``bands`` of equal height, and so of equal area, and
+    each into ``around`` sectors of longitude.  The score is the share of cells
+    that have a direction; least and most are of rows in any cell, empty ones too.
+    Vectors of no length, or with a null, have no direction.
+    """
+    x, y, z = (F.col(a).cast("double") for a in axes)
+    size = F.sqrt(x * x + y * y + z * z)
+    band = F.least(F.floor((z / size + 1) / 2 * bands), F.lit(bands - 1))
+    sector = F.least(F.floor(F.pmod(F.atan2(y, x) / (2 * math.pi), F.lit(1.0)) * around), F.lit(around - 1))
+    cells = rows.where(size > 0).groupBy((band * around + sector).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    total, seen = around * bands, F.count(F.lit(1))
+    return cells.agg(F.lit(total).cast("long").alias("cells"), seen.alias("occupied"), (seen / total).alias("score"), F.when(seen == total, F.min("n")).otherwise(0).cast("long").alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
 
 
 def nearest_error(points: DataFrame, track: DataFrame, reach: float, x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
-    """(key, distance): how far each point is from the nearest point of a track, if within ``reach``; else null.
+    """(key, distance): how far each point is from the nearest point of a track.
 
     The plane is cut into squares of side ``reach``; a point looks into its own
-    and the eight around it.
+    and the eight around it.  What finds nothing within ``reach`` looks again with
+    twice as much, up to the extent of both.  A point with a null coordinate, or
+    an empty track, gives null; of rows of one key the nearest counts.
     """
+    if reach <= 0:
+        raise ValueError("reach is not positive")
+    work = Scratch(points.sparkSession, "nearest")
+    there = work.save(track.select(F.col(x).cast("double").alias("tx"), F.col(y).cast("double").alias("ty")).where("tx IS NOT NULL AND ty IS NOT NULL").distinct(), "track")
+    asked = work.save(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")), "points")
+    left = asked.where("px IS NOT NULL AND py IS NOT NULL").distinct()
+    edge = lambda d, a, b: d.agg(F.min(a).alias("x0"), F.max(a).alias("x1"), F.min(b).alias("y0"), F.max(b).alias("y1")).first()
+    ends = [edge(there, "tx", "ty"), edge(left, "px", "py")]
+    found, step = None, 0
+    if None not in [e["x0"] for e in ends]:
+        extent = math.hypot(max(e["x1"] for e in ends) - min(e["x0"] for e in ends), max(e["y1"] for e in ends) - min(e["y0"] for e in ends))
+        while True:
+            near = work.save(_within(left, there, reach), f"near_{step}")
+            found = near if found is None else found.unionByName(near)
+            left = work.save(left.join(near.select("px", "py"), ["px", "py"], "left_anti"), f"left_{step}")
+            if reach >= extent or left.isEmpty():
+                break
+            reach, step = 2 * reach, step + 1
+    if found is None:
+        return asked.select(F.col("id").alias(key), F.lit(None).cast("double").alias("distance")).distinct()
+    own = asked.join(found, ["px", "py"], "left").groupBy("id").agg(F.min("distance").alias("distance"))
+    return own.select(F.col("id").alias(key), "distance")
+
+
+def _within(points: DataFrame, track: DataFrame, reach: float) -> DataFrame:
+    """(px, py, distance) of the points that have a track point within ``reach``."""
     cells = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
     square = lambda c: F.floor(F.col(c) / reach)
-    own = points.select(F.col(key), F.col(x).alias("px"), F.col(y).alias("py"), square(x).alias("cx"), square(y).alias("cy"), cells.alias("d"))
-    own = own.select(key, "px", "py", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    there = track.select(F.col(x).alias("tx"), F.col(y).alias("ty"), square(x).alias("cx"), square(y).alias("cy")).where("cx IS NOT NULL AND cy IS NOT NULL").distinct()
+    own = points.select("px", "py").distinct().select("px", "py", square("px").alias("cx"), square("py").alias("cy"), cells.alias("d"))
+    own = own.select("px", "py", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    there = track.select("tx", "ty", square("tx").alias("cx"), square("ty").alias("cy"))
     far = F.sqrt(F.pow(F.col("px") - F.col("tx"), 2) + F.pow(F.col("py") - F.col("ty"), 2))
-    near = own.join(there, ["cx", "cy"]).where(far <= reach).groupBy(key).agg(F.min(far).alias("distance"))
-    return points.select(key).distinct().join(near, key, "left")
+    return own.join(there, ["cx", "cy"]).where(far <= reach).groupBy("px", "py").agg(F.min(far).alias("distance"))
 
 
-def ellipsoid_fit(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> tuple[list[float], list[float]]:
-    """(centre, radii, largest first) of the ellipsoid through the points, by least squares.
+def nearest_error_summary(errors: DataFrame, distance: str = "distance") -> DataFrame:
+    """One row: n, median and p95 of known distances, exact."""
+    return exact_quantiles(errors, None, distance, [0.5, 0.95]).select("n", F.col("q0").alias("median"), F.col("q1").alias("p95"))
 
-    The ten monomials of a point are a row of the design matrix; its 55 products
-    are summed in Spark, and the driver solves for the least eigenvector of that
-    small matrix.  Fewer than nine points, or points on no ellipsoid, are an error.
-    """
+
+def _design_products(rows: DataFrame, x: str, y: str, z: str):
+    """Number of points and the sums of products of the ten monomials of a point, a small matrix."""
     import numpy as np
 
     a, b, c = F.col(x).cast("double"), F.col(y).cast("double"), F.col(z).cast("double")
@@ -177,6 +259,33 @@ def ellipsoid_fit(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") ->
     m = np.zeros((10, 10))
     for i, j in pairs:
         m[i, j] = m[j, i] = sums[f"s{i}_{j}"]
+    return m
+
+
+def fit_condition(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> float:
+    """How well points determine an ellipsoid: largest over second smallest singular value of the design matrix of columns of length one.
+
+    The smallest one is that of the fit itself, near zero for good points.
+    Fewer than nine points are an error; points in a plane give a huge number.
+    """
+    import numpy as np
+
+    m = _design_products(rows, x, y, z)
+    scale = 1 / np.sqrt(np.maximum(np.diag(m), np.finfo(float).tiny))
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(m * scale[:, None] * scale[None, :]), 0))
+    return float(values[-1] / values[1]) if values[1] > 0 else math.inf
+
+
+def ellipsoid_fit(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> tuple[list[float], list[float]]:
+    """(centre, radii, largest first) of the ellipsoid through the points, by least squares.
+
+    The ten monomials of a point are a row of the design matrix; its 55 products
+    are summed in Spark, and the driver solves for the least eigenvector of that
+    small matrix.  Fewer than nine points, or points on no ellipsoid, are an error.
+    """
+    import numpy as np
+
+    m = _design_products(rows, x, y, z)
     scale = 1 / np.sqrt(np.diag(m))
     v = np.linalg.eigh(m * scale[:, None] * scale[None, :])[1][:, 0] * scale
     form = np.array([[v[0], v[3], v[4]], [v[3], v[1], v[5]], [v[4], v[5], v[2]]])

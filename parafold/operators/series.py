@@ -1,4 +1,10 @@
-"""Series computations: rows of a key in an order, as windows and aggregates."""
+"""Series computations: rows of a key in an order, as windows over blocks and aggregates.
+
+Defined results.  A null key is a key of its own where rows are numbered, and has
+a row of its own in aggregates.  Null readings take no part in means and counts;
+rows that tie in order are numbered in an order fixed once it is written.  Empty
+tables give empty results, or one row of nulls where the result is one row.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +15,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from .ordering import key_struct, number_rows, with_lag
+from .quantiles import exact_quantiles
+from .segments import align_last, interpolate  # noqa: F401  (part of this module's interface)
+
 
-def _numbered(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    return rows.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+def _numbered(rows: DataFrame, key: str, order: Sequence[str], **more: Column) -> DataFrame:
+    """(row, g, i, ...): the row as a struct, its key, its place in the key, and more columns of it."""
+    own = rows.select(F.struct("*").alias("row"), key_struct(key).alias("g"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], *[v.alias(c) for c, v in more.items()])
+    names = [f"o{n}" for n in range(len(order))]
+    return number_rows(own, names, "g", "i").drop(*names)
 
 
 def allan_deviation(rows: DataFrame, sizes: Sequence[int], rate: float = 1.0, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), value: str = "value") -> DataFrame:
-    """(key, m, tau, adev) from means of full blocks of m rows; null below two blocks."""
-    blocks = _numbered(rows, key, order).select(key, "_i", value, F.explode(F.array(*[F.lit(m) for m in sizes])).alias("m"))
-    means = blocks.groupBy(key, "m", F.expr("_i div m").alias("b")).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).where("n = m")
-    d = F.col("mean") - F.lag("mean").over(W.partitionBy(key, "m").orderBy("b"))
-    return means.withColumn("d", d).groupBy(key, "m").agg(F.sqrt(F.avg(F.col("d") * F.col("d")) * 0.5).alias("adev")).select(key, "m", (F.col("m") / rate).alias("tau"), "adev")
+    """(key, m, tau, adev) from means of full blocks of m rows; null below two blocks.
+
+    A block with a null reading is not full, and neither it nor the block after it
+    has a difference.
+    """
+    blocks = _numbered(rows, key, order, v=F.col(value)).select("g", "i", "v", F.explode(F.array(*[F.lit(m) for m in sizes])).alias("m"))
+    means = blocks.groupBy("g", "m", F.expr("i div m").alias("b")).agg(F.avg("v").alias("mean"), F.count("v").alias("n")).where("n = m")
+    d = F.when(F.col("before_b") == F.col("b") - 1, F.col("mean") - F.col("before_mean"))
+    lagged = with_lag(means, "b", ["b", "mean"], ["g", "m"]).withColumn("d", d)
+    return lagged.groupBy("g", "m").agg(F.sqrt(F.avg(F.col("d") * F.col("d")) * 0.5).alias("adev")).select(F.col("g.k0").alias(key), "m", (F.col("m") / rate).alias("tau"), "adev")
 
 
 def allan_minimum(curve: DataFrame, key: str = "user_id") -> DataFrame:
@@ -31,13 +50,17 @@ def allan_minimum(curve: DataFrame, key: str = "user_id") -> DataFrame:
 def mad_gate(rows: DataFrame, key: str, value: str, factor: float = 3.5, share: float = 0.08) -> DataFrame:
     """Rows with ``inlier``: within max(factor * MAD, share * median) of the median of their key.
 
-    Medians are exact.  Rows of a null key, or with a null value, have a null inlier.
+    Medians are exact, by passes of counts.  Rows of a null key, or with a value
+    that is null or not finite, have a null inlier.
     """
-    own = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), F.col(value).alias("_v"))
-    middle = own.groupBy("_g").agg(F.median("_v").alias("_median"))
-    spread = own.join(middle, "_g").groupBy("_g").agg(F.max("_median").alias("_median"), F.median(F.abs(F.col("_v") - F.col("_median"))).alias("_mad"))
-    gate = F.greatest(F.lit(factor) * F.col("_mad"), F.lit(share) * F.col("_median"))
-    return own.join(spread, "_g", "left").select("_row.*", (F.abs(F.col("_v") - F.col("_median")) <= gate).alias("inlier"))
+    own = rows.select(F.struct("*").alias("row"), F.col(key).alias("g"), F.col(value).cast("double").alias("v"))
+    known = own.where(F.col("g").isNotNull())
+    middle = exact_quantiles(known, "g", "v", [0.5]).select("g", F.col("q0").alias("median"))
+    middle = Scratch(rows.sparkSession, "medians").save(middle, "middle")
+    spread = exact_quantiles(known.join(middle, "g").select("g", F.abs(F.col("v") - F.col("median")).alias("d")), "g", "d", [0.5]).select("g", F.col("q0").alias("mad"))
+    gate = F.greatest(F.lit(factor) * F.col("mad"), F.lit(share) * F.col("median"))
+    finite = F.when(F.abs("v") < F.lit(float("inf")), F.col("v"))
+    return own.join(middle.join(spread, "g"), "g", "left").select("row.*", (F.abs(finite - F.col("median")) <= gate).alias("inlier"))
 
 
 def gated_mean(rows: DataFrame, key: str, value: str, factor: float = 3.5, share: float = 0.08) -> DataFrame:
@@ -75,12 +98,12 @@ def complementary_filter(rows: DataFrame, alpha: float = 0.98, block: int = 256,
     """
     if not 0 <= alpha <= 1:
         raise ValueError(f"alpha {alpha} is not between 0 and 1")
-    n = _numbered(rows.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), "_g", [f"_o{i}" for i in range(len(order))])
+    n = _numbered(rows, key, order).select(F.col("row").alias("_row"), F.col("g").alias("_g"), F.col("i").alias("_i"))
     get = lambda c: F.col("_row").getField(c)
     add = F.when(F.col("_i") == 0, get(measured)).otherwise(alpha * get(rate) * get(step) + (1 - alpha) * get(measured))
     if alpha == 0:
         return n.select("_row.*", add.alias("angle"))
-    done = _discounted_sums(n.withColumn("_x", add), alpha, block)
+    done = _discounted_sums(Scratch(rows.sparkSession, "complementary").save(n.withColumn("_x", add), "added"), alpha, block)
     return done.select("_row.*", F.col("_sum").alias("angle"))
 
 
@@ -107,61 +130,50 @@ def _discounted_sums(n: DataFrame, alpha: float, block: int) -> DataFrame:
 
 
 def segment_ratio(rows: DataFrame, segment: str, over: str, under: str, value: str = "value") -> DataFrame:
-    """Standard deviation of one segment divided by that of another."""
-    return rows.agg((F.stddev_pop(F.when(F.col(segment) == over, F.col(value))) / F.stddev_pop(F.when(F.col(segment) == under, F.col(value)))).alias("ratio"))
+    """Standard deviation of one segment divided by that of another; null without rows of either, or if the other does not vary."""
+    return rows.agg((F.stddev_pop(F.when(F.col(segment) == over, F.col(value))) / F.nullif(F.stddev_pop(F.when(F.col(segment) == under, F.col(value))), F.lit(0.0))).alias("ratio"))
 
 
 def mean_vector_shift(rows: DataFrame, switch: str, axes: Sequence[str]) -> DataFrame:
-    """d<axis>, their norm and its share of the field without the switch, in percent."""
+    """d<axis>, their norm and its share of the field without the switch, in percent; rows with a null switch take no part."""
     off = {a: F.avg(F.when(~F.col(switch), F.col(a))) for a in axes}
     shift = {a: F.avg(F.when(F.col(switch), F.col(a))) - off[a] for a in axes}
     norm = F.sqrt(sum((shift[a] * shift[a] for a in axes), F.lit(0.0)))
     field = F.sqrt(sum((off[a] * off[a] for a in axes), F.lit(0.0)))
-    return rows.agg(*[shift[a].alias(f"d{a}") for a in axes], norm.alias("vector_shift"), (100 * norm / field).alias("percent_of_field"))
+    return rows.agg(*[shift[a].alias(f"d{a}") for a in axes], norm.alias("vector_shift"), (100 * norm / F.nullif(field, F.lit(0.0))).alias("percent_of_field"))
 
 
 def capture_summary(rows: DataFrame, key: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Rows, seconds, rows a second, mean and standard deviation of each key."""
+    """Rows, seconds, rows a second, mean and standard deviation of each key; no rate where all rows are at one time."""
     seconds = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
     out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), seconds.alias("seconds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     return out.withColumn("hz", F.when(F.col("seconds") > 0, (F.col("n_rows") - 1) / F.col("seconds")))
 
 
-def track_length(rows: DataFrame, key: str, order: Sequence[str], x: str, y: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order)
-    d = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
-    return rows.withColumn("_d", d).groupBy(key).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
+def without_mean(rows: DataFrame, key: str, value: str, name: str = "unbiased") -> DataFrame:
+    """``rows`` with ``unbiased``: the value less the mean of its key, by a join with the means; null keys have a mean too."""
+    own = rows.select(F.struct("*").alias("row"), key_struct(key).alias("g"), F.col(value).cast("double").alias("v"))
+    return own.join(own.groupBy("g").agg(F.avg("v").alias("mean")), "g").select("row.*", (F.col("v") - F.col("mean")).alias(name))
 
 
-def align_last(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str]) -> DataFrame:
-    """``left`` with the values of the last row of ``right`` at or before its time, by union and window."""
-    a = left.withColumn("_side", F.lit(1))
-    b = right.select(key, ts, F.struct(*values).alias("_v")).withColumn("_side", F.lit(0))
-    w = W.partitionBy(key).orderBy(ts, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_l", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, *[F.col(f"_l.{v}").alias(f"last_{v}") for v in values])
+def track_length(rows: DataFrame, key: str, order: Sequence[str], x: str, y: str) -> DataFrame:
+    """(key, length): sum of the distances between rows that follow each other; one with a null place adds nothing."""
+    placed = _numbered(rows, key, order, x=F.col(x), y=F.col(y)).select("g", "i", "x", "y")
+    lagged = with_lag(placed, "i", ["x", "y"], "g")
+    d = F.sqrt(F.pow(F.col("x") - F.col("before_x"), 2) + F.pow(F.col("y") - F.col("before_y"), 2))
+    return lagged.groupBy("g").agg(F.coalesce(F.sum(d), F.lit(0.0)).alias("length")).select(F.col("g.k0").alias(key), "length")
 
 
-def interpolate(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """``left`` with ``interpolated``: ``value`` of ``right`` at its time, on the line between the rows before and after.
+def sliding_windows(rows: DataFrame, size: int = 64, stride: int = 4, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), value: str = "value") -> DataFrame:
+    """(key, window, begins, values): full windows of ``size`` rows, every ``stride`` rows; nulls stay in their places.
 
-    Times are numbers.  Outside the times of ``right``, or without a row of the
-    key, it is null; of rows of ``right`` at the same time the one with the
-    greatest value counts.
+    Each row is dealt to the windows it is in, so that lists are made for these
+    alone and no task needs a whole key.
     """
-    a = left.select(F.struct("*").alias("_row"), F.col(key).alias("_g"), F.col(ts).alias("_t"), F.lit(None).cast("double").alias("_v"))
-    b = right.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_g"), F.col(ts).alias("_t")).agg(F.max(value).cast("double").alias("_v"))
-    both = a.unionByName(b.withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType)))
-    point = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
-    w = W.partitionBy("_g").orderBy("_t")
-    both = both.withColumn("_p", F.last(point, ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("_q", F.first(point, ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
-    gap = F.col("_q._t") - F.col("_p._t")
-    line = F.col("_p._v") + F.when(gap == 0, 0.0).otherwise((F.col("_q._v") - F.col("_p._v")) * (F.col("_t") - F.col("_p._t")) / gap)
-    return both.where(F.col("_row").isNotNull()).select("_row.*", line.alias("interpolated"))
-
-
-def sliding_windows(rows: DataFrame, size: int = 64, stride: int = 4, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), value: str = "value") -> DataFrame:
-    """(key, window, first row, values): full windows of ``size`` rows, every ``stride`` rows."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(0, size - 1)
-    numbered = _numbered(rows, key, order).withColumn("values", F.collect_list(value).over(w))
-    return numbered.where((F.col("_i") % stride == 0) & (F.size("values") == size)).select(key, F.expr(f"_i div {stride}").alias("window"), F.col("_i").alias("begins"), "values")
+    placed = _numbered(rows, key, order, v=F.col(value)).select("g", "i", "v")
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - (size - 1)) / stride)).cast("long")
+    last = F.floor(F.col("i") / stride).cast("long")
+    dealt = placed.where(first <= last).select("g", "i", "v", F.explode(F.sequence(first, last)).alias("window"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
+    windows = dealt.groupBy("g", "window").agg(lists.alias("values")).where(F.size("values") == size)
+    return windows.select(F.col("g.k0").alias(key), "window", (F.col("window") * stride).alias("begins"), "values")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import after_prefix, format_3dp, is_heading, strip
 from ..operators import edits, lookups, series
+from ..operators.ordering import number_rows
+from ..operators.quantiles import exact_quantiles
 from ..sources import paragraphs
 
 # What the queries look for.
@@ -121,10 +123,15 @@ def ordered_concat(spark, sf_dir):
     return lookups.ordered_concat(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
 
 
-@query("SELECT 'Q' || i AS term FROM range(6, 21) r(i) UNION ALL SELECT * FROM (VALUES ('summary'), ('table'))")
+@query("WITH t AS (SELECT 'Q' || i AS term FROM range(1, 21) r(i) UNION ALL SELECT DISTINCT lang FROM documents) SELECT term, count(d.doc_id) AS n FROM t LEFT JOIN documents d ON contains(d.text, term) OR d.lang = term GROUP BY term")
 def range_and_union(spark, sf_dir):
-    made = spark.range(1).select(F.explode(F.sequence(F.lit(6), F.lit(20))).alias("i")).select(F.concat(F.lit("Q"), F.col("i")).alias("term"))
-    return made.unionAll(spark.createDataFrame([("summary",), ("table",)], "term string"))
+    docs = _docs(spark, sf_dir)
+    made = docs.sparkSession.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i")).select(F.concat(F.lit("Q"), F.col("i")).alias("term"))
+    terms = made.unionAll(docs.where("lang IS NOT NULL").select(F.col("lang").alias("term")).distinct())
+    # Terms are few, and each text is held against them once, without a join of rows.
+    names = sorted(r["term"] for r in terms.collect())
+    hits = docs.agg(*[F.count_if(F.contains("text", F.lit(t)) | (F.col("lang") == t)).alias(f"c{i}") for i, t in enumerate(names)])
+    return hits.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("n")) for i, t in enumerate(names)])).alias("x")).select("x.*")
 
 
 @query("SELECT event_type AS item, arg_max(value, event_id) AS value FROM events GROUP BY 1")
@@ -226,14 +233,14 @@ def capture_summary(spark, sf_dir):
 
 @query(N + ", d AS (SELECT user_id, sqrt((value - lag(value) OVER w) ** 2 + (i - lag(i) OVER w) ** 2) AS d FROM n WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(coalesce(sum(d), 0.0), 6) AS length FROM d GROUP BY 1")
 def track_length(spark, sf_dir):
-    rows = series._numbered(_events(spark, sf_dir), "user_id", ["ts", "event_id"]).withColumn("y", F.col("_i").cast("double"))
+    rows = number_rows(_events(spark, sf_dir), ["ts", "event_id"], "user_id", "i").withColumn("y", F.col("i").cast("double"))
     return series.track_length(rows, "user_id", ["ts", "event_id"], "value", "y").withColumn("length", F.round("length", 6))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def innovation_quantiles(spark, sf_dir):
-    q = _events(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
-    return q.select("event_type", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"))
+    q = exact_quantiles(_events(spark, sf_dir), "event_type", "value", [0.5, 0.95])
+    return q.select("event_type", F.round("q0", 6).alias("median"), F.round("q1", 6).alias("p95"))
 
 
 @query("""SELECT a.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') a
@@ -256,7 +263,6 @@ def phase_spread(spark, sf_dir):
 
 @query("SELECT event_id, round(value / 131 - avg(value / 131) OVER (PARTITION BY event_type), 9) AS unbiased, round(value / 16384, 9) AS g, round(value * sqrt(60), 9) AS per_root_hour FROM events")
 def scaled_units(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    bias = F.avg(F.col("value") / 131).over(W.partitionBy("event_type"))
-    return _events(spark, sf_dir).select("event_id", F.round(series.scaled(F.col("value"), 131, bias), 9).alias("unbiased"), F.round(series.scaled(F.col("value"), 16384), 9).alias("g"), F.round(F.col("value") * F.sqrt(F.lit(60.0)), 9).alias("per_root_hour"))
+    rows = _events(spark, sf_dir).select("event_id", "event_type", "value", series.scaled(F.col("value"), 131).alias("rate"))
+    out = series.without_mean(rows, "event_type", "rate")
+    return out.select("event_id", F.round("unbiased", 9).alias("unbiased"), F.round(series.scaled(F.col("value"), 16384), 9).alias("g"), F.round(F.col("value") * F.sqrt(F.lit(60.0)), 9).alias("per_root_hour"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import is_heading
-from ..operators import reports, sensing, series
+from ..functions import is_heading, lines_of
+from ..operators import edits, reports, sensing, series
 from ..sources import flat_text_rows
 from .queries import KEYS, TERMS, P, _docs, _events, _paragraphs, query
 
 # What the queries are given.
 CENTRE, MATRIX = [0.1, -0.2, 0.05], [[1.1, 0.02, 0.0], [0.02, 0.9, 0.01], [0.0, 0.01, 1.05]]
-HEADER = ["nation", "region", "remark"]
+HEADER = ["status", "order", "remark"]
 MAD = """m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1), s AS (SELECT e.event_type, med, median(abs(value - med)) AS mad FROM events e JOIN m USING (event_type) GROUP BY 1, 2)"""
 
 
@@ -65,12 +65,13 @@ def filled_template(spark, sf_dir):
     return reports.fill_template(counts, "English {e}, German {g}.", {"e": "en", "g": "de"})
 
 
-@query("""WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS r, n_name, n_regionkey FROM nation)
-SELECT CAST(0 AS BIGINT) AS "row", CAST(c AS INT) AS col, t AS text FROM (VALUES (0, 'nation'), (1, 'region'), (2, 'remark')) h(c, t)
-UNION ALL SELECT r, 0, n_name FROM n UNION ALL SELECT r, 1, CAST(n_regionkey AS VARCHAR) FROM n UNION ALL SELECT r, 2, '' FROM n""")
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r, o_orderstatus, o_orderkey FROM orders)
+SELECT CAST(0 AS BIGINT) AS "row", CAST(c AS INT) AS col, t AS text FROM (VALUES (0, 'status'), (1, 'order'), (2, 'remark')) h(c, t)
+UNION ALL SELECT r, 0, o_orderstatus FROM n UNION ALL SELECT r, 1, CAST(o_orderkey AS VARCHAR) FROM n UNION ALL SELECT r, 2, '' FROM n""")
 def appended_table(spark, sf_dir):
-    body = _nations(spark, sf_dir).select("n_nationkey", F.array("n_name", F.col("n_regionkey").cast("string")).alias("cells"))
-    return reports.table_rows(HEADER, body, "n_nationkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    body = orders.select(F.struct("o_totalprice", "o_orderkey").alias("place"), F.array("o_orderstatus", F.col("o_orderkey").cast("string")).alias("cells"))
+    return reports.table_rows(HEADER, body, "place")
 
 
 @query(P + " SELECT doc_id, string_agg(text, '|' ORDER BY idx) AS headings FROM q WHERE t <> '' AND (starts_with(t, 'The') OR starts_with(t, 'In')) GROUP BY doc_id")
@@ -153,7 +154,7 @@ def noise_metrics(spark, sf_dir):
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 n AS (SELECT p.vec_id, min(sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2))) AS d FROM v p, v t WHERE p.label % 2 = 1 AND t.label % 2 = 0 GROUP BY 1)
-SELECT vec_id, CASE WHEN d <= 0.05 THEN round(d, 9) END AS distance FROM n""")
+SELECT vec_id, round(d, 9) AS distance FROM n""")
 def nearest_error(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("vec_id", "label", F.col("e0").alias("x"), F.col("e1").alias("y"))
     out = sensing.nearest_error(v.where("label % 2 = 1"), v.where("label % 2 = 0"), 0.05, key="vec_id")
@@ -169,6 +170,69 @@ def interpolated_values(spark, sf_dir):
     return out.select("event_id", F.round("interpolated", 6).alias("interpolated"))
 
 
-@query("SELECT n_nationkey, pow((n_nationkey + 2) / 5.0, 3) AS weaker FROM nation")
+@query("SELECT event_id, round(pow(15 / (value + 5), 3), 6) AS weaker FROM events")
 def distance_law(spark, sf_dir):
-    return _nations(spark, sf_dir).select("n_nationkey", F.pow((F.col("n_nationkey") + 2) / 5.0, F.lit(3)).alias("weaker"))
+    return _events(spark, sf_dir).select("event_id", F.round(sensing.distance_law(F.col("value") + 5, 15.0), 6).alias("weaker"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+n AS (SELECT p.vec_id, min(sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2))) AS d FROM v p, v t WHERE p.label % 2 = 1 AND t.label % 2 = 0 GROUP BY 1)
+SELECT count(*) AS n, round(median(d), 9) AS median, round(quantile_cont(d, 0.95), 9) AS p95 FROM n""")
+def nearest_summary(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("vec_id", "label", F.col("e0").alias("x"), F.col("e1").alias("y"))
+    out = sensing.nearest_error_summary(sensing.nearest_error(v.where("label % 2 = 1"), v.where("label % 2 = 0"), 0.02, key="vec_id"))
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("median", "p95")])
+
+
+@query("""WITH v AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+d AS (SELECT *, sqrt(x * x + y * y + z * z) AS s, atan2(y, x) / (2 * pi()) AS t FROM v),
+c AS (SELECT least(floor((z / s + 1) / 2 * 6), 5) * 12 + least(floor((t - floor(t)) * 12), 11) AS cell, count(*) AS n FROM d WHERE s > 0 GROUP BY 1)
+SELECT CAST(72 AS BIGINT) AS cells, count(*) AS occupied, round(count(*) / 72, 9) AS score, CAST(CASE WHEN count(*) = 72 THEN min(n) ELSE 0 END AS BIGINT) AS least, max(n) AS most FROM c""")
+def coverage_score(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select(*[F.col(f"e{i}").alias(a) for i, a in enumerate("xyz")])
+    return sensing.coverage(v).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT event_id, CASE WHEN abs(value - 10) <= 3 * 0.1 * (event_id % 20) AND event_id % 20 > 0 THEN round(0.1 * (event_id % 20), 9)
+WHEN abs(value - 10) <= 10 * 0.1 * (event_id % 20) AND event_id % 20 > 0 THEN round(abs(value - 10) / 3, 9) END AS sigma FROM events""")
+def gated_sigmas(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", F.round(sensing.gated_sigma(F.col("value") - 10, F.col("event_id") % 20, 0.1), 9).alias("sigma"))
+
+
+@query("SELECT event_type, round(sqrt(avg(d * d)), 6) AS jitter FROM (SELECT event_type, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS d FROM events) GROUP BY 1")
+def jitter(spark, sf_dir):
+    return sensing.jitter(_events(spark, sf_dir), "event_type", "value", ["ts", "event_id"]).withColumn("jitter", F.round("jitter", 6))
+
+
+@query("""SELECT event_id, event_id % 3 > 0 AS valid, round(-(event_id % 80 + (event_id % 59 + 0.25) / 60), 9) AS lat, round(event_id % 170 + (event_id % 59 + 0.25) / 60, 9) AS lon, round((event_id % 12) * 1852 / 3600, 9) AS speed FROM events""")
+def nmea_courses(spark, sf_dir):
+    n = F.col("event_id")
+    two = lambda c, width: F.lpad(c.cast("string"), width, "0")
+    body = F.concat_ws(",", F.lit("GNRMC"), F.lit("120000.00"), F.when(n % 3 > 0, "A").otherwise("V"), F.concat(two(n % 80, 2), two(n % 59, 2), F.lit(".25")), F.lit("S"), F.concat(two(n % 170, 3), two(n % 59, 2), F.lit(".25")), F.lit("E"), (n % 12).cast("string"), F.lit("84.4"), F.lit("010124"))
+    sums = F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    fix = _events(spark, sf_dir).select("event_id", sensing.parse_rmc(F.concat(F.lit("$"), body, F.lit("*"), F.lpad(F.hex(sums), 2, "0"))).alias("fix"))
+    return fix.select("event_id", "fix.valid", *[F.round(f"fix.{c}", 9).alias(c) for c in ("lat", "lon", "speed")])
+
+
+@query("""SELECT conv_id AS doc_id, turn AS idx, text, '[' || text || '|false]' AS runs FROM conversations UNION ALL
+SELECT conv_id, max(turn) + 1, 'Note: checked', '[Note:|true][ checked|false]' FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, max(turn) + 2, 'unmarked', '[unmarked|false]' FROM conversations GROUP BY conv_id""")
+def appended_paragraphs(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
+    out = edits.append_paragraphs(rows, ["Note: checked", "unmarked"], "Body", "Note:")
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(F.lit("["), r["text"], F.lit("|"), r["bold"].cast("string"), F.lit("]"))), "")
+    return out.select("doc_id", "idx", "text", shown.alias("runs"))
+
+
+@query(P + """ SELECT 'paragraphs' AS section, 0 AS ord, '' AS name, count(*) AS n FROM q
+UNION ALL SELECT 'headings', 0, '', count(*) FILTER (t <> '' AND starts_with(t, 'The')) FROM q
+UNION ALL SELECT 'tables', 0, '', count(DISTINCT (conv_id, role)) FROM conversations
+UNION ALL SELECT 'found', k.ord, k.term, CAST(max(CAST(contains(text, k.term) AS INT)) AS BIGINT) FROM (SELECT text FROM q UNION ALL SELECT text FROM conversations), (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS)) + ") k(ord, term) GROUP BY k.ord, k.term")
+def report_with_tables(spark, sf_dir):
+    cells = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("role").alias("table_idx"), "text")
+    return reports.report(_paragraphs(spark, sf_dir), TERMS, [], ["The"], cells)
+
+
+@query("SELECT doc_id, CAST(len(string_split(trim(text, chr(10)), chr(10))) AS INT) AS n FROM documents WHERE text <> '' AND NOT regexp_matches(text, '[\\x0B\\x0C\\x0D\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')")
+def line_counts(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where((F.col("text") != "") & ~F.col("text").rlike(r"[\x0B\x0C\x0D\x1C-\x1E\x85\u2028\u2029]"))
+    return docs.select("doc_id", F.size(lines_of(F.col("text"))).alias("n"))

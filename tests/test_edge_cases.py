@@ -146,8 +146,18 @@ def test_ellipsoid(spark):
         sensing.ellipsoid_fit(rows.limit(5))
 
 
-def test_small_matrices():
-    assert sensing.condition_number([[2, 0], [0, 1]]) == pytest.approx(2) and sensing.distance_law(5, 15) == pytest.approx(27)
+def test_distance_law_and_condition(spark):
+    assert one(spark, sensing.distance_law(5, 15)) == pytest.approx(27) and one(spark, sensing.distance_law(F.lit(0.0), 1)) is None
+    import numpy as np
+
+    p = np.random.default_rng(1).normal(size=(60, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    design = np.stack([p[:, 0] ** 2, p[:, 1] ** 2, p[:, 2] ** 2, 2 * p[:, 0] * p[:, 1], 2 * p[:, 0] * p[:, 2], 2 * p[:, 1] * p[:, 2], *(2 * p).T, np.ones(60)], axis=1)
+    values = np.linalg.svd(design / np.linalg.norm(design, axis=0), compute_uv=False)
+    rows = spark.createDataFrame([tuple(map(float, q)) for q in p], "x double, y double, z double")
+    assert sensing.fit_condition(rows) == pytest.approx(values[0] / values[-2], rel=1e-6)
+    cap = rows.selectExpr("0.1 * x AS x", "0.1 * y AS y", "sqrt(1 - 0.01 * (x * x + y * y)) AS z")
+    assert sensing.fit_condition(cap) > 10 * sensing.fit_condition(rows)
 
 
 def test_gga(spark):

@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from parafold.plans import sensing_queries  # noqa: F401
+from parafold.plans import filter_queries, sensing_queries  # noqa: F401
 from parafold.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents conversations events embeddings nation".split()
+TABLES = "documents conversations events embeddings nation orders".split()
 
 
 def rows_of(records, columns):
