@@ -42,8 +42,8 @@ from .words import byte_buffers, text_slices
 
 #: Tokens of one sequence.
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers before it begins anew.
-CACHE_WORDS = 400_000
+#: Units whose ids a Python worker remembers before it begins anew, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
 #: Fillings that a node sorts by their waste before it tries them; all are tried.
 TOGETHER = 32
 #: Members that the search looks at before the best plan so far is taken.
@@ -69,7 +69,6 @@ _STOPS = np.zeros(256, bool)
 _STOPS[[0x2C, 0x2E]] = True
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordEncoder:
@@ -93,10 +92,11 @@ class WordEncoder:
         self.store = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 12, np.int64)
         self.counts = np.zeros(1 << 12, np.int64)
-        self.filled = self.slots = 0
-        self.known: dict[int, int] = {}
+        self.filled = self.slots = self.held = 0
+        self.known: dict[bytes, int] = {}
 
-    def _remember(self, keys: list[int], units: list[str]) -> None:
+    def _remember(self, keys: list[bytes]) -> None:
+        units = [k.decode() for k in keys]
         ids = np.array(self.tokenizer.encode_batch_fast([_SPECIAL.join(units) + _SPECIAL], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(ids == self.special)
         ids = ids[ids != self.special]
@@ -113,10 +113,11 @@ class WordEncoder:
         self.known.update(zip(keys, range(self.slots, self.slots + len(keys)), strict=True))
         self.filled += len(ids)
         self.slots += len(keys)
+        self.held += sum(map(len, keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
-        if self.slots > CACHE_WORDS:
+        if self.slots > CACHE_WORDS or self.held > CACHE_BYTES:
             self.reset()
         n = len(texts)
         whole = np.array(pc.match_substring(texts, _SPECIAL), bool)
@@ -130,26 +131,18 @@ class WordEncoder:
         starts[first] = True
         pos = np.flatnonzero(starts)
         size = np.diff(np.append(pos, len(data)))
-        # Polynomial hash of each unit from prefix sums, modulo 2**64.
-        with np.errstate(over="ignore"):
-            local = np.arange(len(data), dtype=np.int64) - np.repeat(pos, size)
-            powers = np.cumprod(np.full(int(size.max()), _MULTIPLIER))
-            sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[local], pos)
-            sums ^= sums >> np.uint64(29)
-            sums *= np.uint64(0xBF58476D1CE4E5B9)
-            sums ^= sums >> np.uint64(32)
-        codes, keys = pd.factorize(sums)
-        found = list(map(self.known.get, key_list := keys.tolist()))
+        # Units are told apart by their bytes.
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pos), [None, pa.py_buffer(np.append(pos, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = units.dictionary_encode()
+        codes, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        found = list(map(self.known.get, keys))
         missing = [i for i, slot in enumerate(found) if slot is None]
         where = np.zeros(len(keys), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]  # the first unit of each key
         if missing:
-            view = memoryview(data)
-            at = where[missing]
-            units = [str(view[a:b], "utf-8") for a, b in zip(pos[at].tolist(), (pos[at] + size[at]).tolist(), strict=True)]
-            self._remember([key_list[i] for i in missing], units)
+            self._remember([keys[i] for i in missing])
             for i in missing:
-                found[i] = self.known[key_list[i]]
+                found[i] = self.known[keys[i]]
         slots = np.array(found, np.int64)[codes]
         counts = self.counts[slots]
         total = np.concatenate([[0], np.cumsum(counts)])

@@ -243,3 +243,24 @@ def test_search_looks_at_fewer():
         moved, at = np.sqrt(((new - at) ** 2).sum(axis=1)), new
         looks.append(looked)
     assert looks[0] == 120_000 and sum(looks[1:]) < 0.35 * 5 * 120_000
+
+
+# ----------------------------------------------------------- units of the packing
+
+
+def test_units_that_one_hash_confuses(spark):
+    """A word of the Thue-Morse kind and its complement have equal polynomial hashes modulo 2**64, and ids of their own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from parafold.llm.packing import encoder, pack
+
+    word = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in word), "".join("ba"[b] for b in word), "one two, one two", ""]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, at = encoder(path).encode(pa.array(texts, pa.large_string()))
+    whole = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in pack(rows, path).collect() if r.piece == 0}
+    assert got[0] != got[1]
