@@ -47,6 +47,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Matches of a text whose places are added up together.
+CHUNK = 64
 # Looser patterns, for what the base does not find.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\[at\]|\(at\)|\{at\}|＠) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+)+| at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+)+)",
@@ -75,12 +77,22 @@ def _quote(pattern: str) -> str:
 
 
 def matches_sql(text: str, pattern: str) -> str:
-    """(start, m, before, after) of all matches: they are what stands between the split pieces."""
+    """(start, m, before, after) of all matches: they are what stands between the split pieces.
+
+    Places are sums of the lengths before.  They are added up within chunks of
+    ``CHUNK`` matches that begin at the sums of earlier chunks, so that no array
+    grows match by match with the text.
+    """
     p = _quote(pattern)
-    step = f"named_struct('at', s.at + length(ps[i]) + length(ms[i]), 'out', concat(s.out, array(named_struct('start', s.at + length(ps[i]), 'm', ms[i], 'before', right(ps[i], {CONTEXT}), 'after', left(ps[i + 1], 2)))))"
-    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,m:string,before:string,after:string>>))"
-    folded = f"if(size(ms) = 0, {zero}.out, aggregate(sequence(0, size(ms) - 1), {zero}, (s, i) -> {step}).out)"
-    return let(f"split({text}, {p}, -1)", "ps", let(f"regexp_extract_all({text}, {p}, 0)", "ms", folded))
+    one = f"named_struct('start', s.at + length(ps[s.i]), 'm', ms[s.i], 'before', right(ps[s.i], {CONTEXT}), 'after', left(ps[s.i + 1], 2))"
+    step = f"named_struct('at', s.at + l, 'i', s.i + 1, 'out', concat(s.out, array({one})))"
+    zero = f"named_struct('at', o, 'i', k * {CHUNK}, 'out', cast(array() as array<struct<start:int,m:string,before:string,after:string>>))"
+    found = f"flatten(transform(os, (o, k) -> aggregate(slice(ls, k * {CHUNK} + 1, {CHUNK}), {zero}, (s, l) -> {step}).out))"
+    added = "aggregate({}, 0, (a, b) -> a + b)"
+    found = let(f"transform(cs, (c, k) -> {added.format('slice(cs, 1, k)')})", "os", found)
+    found = let(f"transform(sequence(0, (size(ls) - 1) div {CHUNK}), k -> {added.format(f'slice(ls, cast(k as int) * {CHUNK} + 1, {CHUNK})')})", "cs", found)
+    found = let("transform(ms, (m, i) -> length(ps[i]) + length(m))", "ls", found)
+    return let(f"split({text}, {p}, -1)", "ps", let(f"regexp_extract_all({text}, {p}, 0)", "ms", found))
 
 
 def _passes(kind: str) -> str:

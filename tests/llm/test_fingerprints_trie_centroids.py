@@ -264,3 +264,29 @@ def test_units_that_one_hash_confuses(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.ids_crc32 for r in pack(rows, path).collect() if r.piece == 0}
     assert got[0] != got[1]
+
+
+# ------------------------------------------------------------ matches of one text
+
+
+def test_places_of_many_matches(spark):
+    """Places of a text's matches, over many chunks; twice the matches take about twice the time, not four times."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from parafold.llm.pii import matches_sql
+
+    def places(n):
+        text = "".join(f"é{i % 90 + 10} " for i in range(n))
+        rows = spark.createDataFrame([(text,), ("",), ("none",)], "text string").coalesce(1)
+        began = time.time()
+        got = [[(x.start, x.m, x.before[-1:], x.after[:1]) for x in r.x] for r in rows.select(F.expr(matches_sql("text", "[0-9]+")).alias("x")).collect()]
+        want = [(m.start(), m[0], text[m.start() - 1], text[m.end() : m.end() + 1]) for m in re.finditer("[0-9]+", text)]
+        assert got == [want, [], []]
+        return time.time() - began
+
+    for n in (1, 63, 64, 65, 200):
+        places(n)
+    small, large = min(places(8_000) for _ in range(2)), places(32_000)
+    assert large < 10 * small
