@@ -245,15 +245,15 @@ def nearest_error_summary(errors: DataFrame, distance: str = "distance") -> Data
     return exact_quantiles(errors, None, distance, [0.5, 0.95]).select("n", F.col("q0").alias("median"), F.col("q1").alias("p95"))
 
 
-def _design_products(rows: DataFrame, x: str, y: str, z: str):
-    """Number of points and the sums of products of the ten monomials of a point, a small matrix."""
+def _design_products(rows: DataFrame, x: str, y: str, z: str, weight: Column | float = 1.0):
+    """The weighted sums of products of the ten monomials of a point, a small matrix."""
     import numpy as np
 
     a, b, c = F.col(x).cast("double"), F.col(y).cast("double"), F.col(z).cast("double")
     terms = [a * a, b * b, c * c, 2 * a * b, 2 * a * c, 2 * b * c, 2 * a, 2 * b, 2 * c, F.lit(1.0)]
     pairs = [(i, j) for i in range(10) for j in range(i, 10)]
     known = rows.where(a.isNotNull() & b.isNotNull() & c.isNotNull())
-    sums = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    sums = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(weight * terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
     if sums["n"] < 9:
         raise ValueError("an ellipsoid needs nine points")
     m = np.zeros((10, 10))
@@ -285,12 +285,27 @@ def ellipsoid_fit(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") ->
     """
     import numpy as np
 
-    m = _design_products(rows, x, y, z)
+    centre, form = ellipsoid_form(rows, x, y, z)
+    return centre.tolist(), sorted((1 / np.sqrt(np.linalg.eigvalsh(form))).tolist(), reverse=True)
+
+
+def ellipsoid_form(rows: DataFrame, x: str, y: str, z: str, weight: Column | float = 1.0):
+    """(c, A) with (p - c)' A (p - c) = 1 on the ellipsoid of least squares of weighted points."""
+    import numpy as np
+
+    m = _design_products(rows, x, y, z, weight)
     scale = 1 / np.sqrt(np.diag(m))
     v = np.linalg.eigh(m * scale[:, None] * scale[None, :])[1][:, 0] * scale
+    return centred_form(v)
+
+
+def centred_form(v):
+    """(c, A) of the surface with ten coefficients ``v`` of the monomials; an error if it is no ellipsoid."""
+    import numpy as np
+
     form = np.array([[v[0], v[3], v[4]], [v[3], v[1], v[5]], [v[4], v[5], v[2]]])
     centre = -np.linalg.solve(form, v[6:9])
-    squares = (centre @ form @ centre - v[9]) / np.linalg.eigvalsh(form)
-    if (squares <= 0).any():
+    form = form / (centre @ form @ centre - v[9])
+    if not (np.linalg.eigvalsh(form) > 0).all():
         raise ValueError("the points are on no ellipsoid")
-    return centre.tolist(), sorted(np.sqrt(squares).tolist(), reverse=True)
+    return centre, form

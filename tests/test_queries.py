@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from parafold.plans import filter_queries, sensing_queries  # noqa: F401
+from parafold.plans import filter_queries, robust_queries, sensing_queries  # noqa: F401
 from parafold.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
