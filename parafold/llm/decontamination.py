@@ -4,7 +4,8 @@ Words are lower-cased runs of letters, digits and signs beyond ASCII.  A
 shingle is five consecutive words and weighs as many as they have characters.
 A window of an item's size can only be similar to the item if they share a
 shingle, so windows are taken where a document has a shingle of the benchmark,
-aligned to it.  Each window and item gets a 64-bit weighted SimHash.  The index
+and only so that the shingle stands where it stands in the item: other windows
+that overlap these are not compared, even if they are similar enough.  Each window and item gets a 64-bit weighted SimHash.  The index
 cuts it into ``BLOCKS`` blocks and lists every value that is up to ``FLIPS`` bits
 away too: two fingerprints at a distance below ``(FLIPS + 1) * BLOCKS`` have a
 block that differs in so many bits at most, so all items of the window's size

@@ -93,6 +93,25 @@ def test_substrings_of_edges(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_odd_ids(spark):
+    """A null id keeps all and takes nothing; rows of one id take nothing from each other."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (3, text), (3, text), (7, text + " end"), (7, text + " end"), (None, text), (2, "short text")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in got) == [(-1, 60, 0), (-1, 60, 0), (2, 2, 0), (3, 60, 0), (3, 60, 0), (7, 61, 60), (7, 61, 60)]
+    assert {r.kept for r in got if r.doc_id == 7} == {"end"}
+
+
+def test_warc_of_odd_ids(spark):
+    """A null page id is the smallest; a payload of null ids alone has no revisits; repeated rows are archived one by one."""
+    rows = [(None, "http://a.b/x", "<p>one</p>"), (4, "http://a.b/x", "<p>one</p>"), (None, "http://c.d", "<p>two</p>"), (None, "http://c.d", "<p>two</p>"), (9, "http://e.f", "<p>three</p>"), (9, "http://e.f", "<p>three</p>"), (8, "http://e.f", "<p>three</p>")]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kinds = [(r.payload_bytes, -1 if r.page_id is None else r.page_id, r.record_type, r.refers_to) for r in got]
+    key = lambda r: (*r[:3], r[3] or 0)
+    want = [(10, -1, "revisit", 4), (10, 4, "response", None), *[(10, -1, "response", None)] * 2, *[(12, 9, "response", None)] * 2, (12, 8, "revisit", 9)]
+    assert sorted(kinds, key=key) == sorted(want, key=key)
+
+
 def test_warc_of_edges(spark):
     rows = [(1, "http://a.b/x", None), (2, None, ""), (3, "http://a.b/x", "<p>ü</p>"), (4, "http://c.d", "<p>ü</p>"), (5, "http://c.d", "x" * 300000)]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string")
