@@ -1,10 +1,11 @@
 """Nulls, blanks, repeated rows, empty tables and clashing names."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parafold.llm import decontamination, jaccard, katz, lines, packing, pii, quality, substrings, toxicity, warc
+from parafold.llm import chunks, decontamination, jaccard, katz, lines, packing, pii, quality, substrings, toxicity, warc
 from parafold.scratch import Scratch
 
 EXTRA = "verdict lines row_key class_id shared row key _leaked k1 at gone score toxic kind chunk part".split()
@@ -198,3 +199,45 @@ def test_pipeline_of_known_cases(spark, tmp_path):
         assert set(kept) == want and left.columns == frame.columns
     assert all(kept[d] == docs[d] for d in want - {106}) and kept[106] == "\n".join(docs[106].split("\n")[1:])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_tokens_that_48_bits_confuse():
+    """Keys of single tokens keep all bits, so that two that agree in the first 48 are counted apart."""
+    import numpy as np
+
+    def unmixed(y):
+        for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, None)):
+            x = y
+            for _ in range(64 // shift):
+                x = y ^ (x >> shift)
+            y = x * pow(factor, -1, 1 << 64) % (1 << 64) if factor else x
+        return y
+
+    near = [k for k in (unmixed(0xABCDEF012345 << 16 | low) for low in range(64)) if k % 8 == 3][:2]
+    keys = np.array(near, np.uint64)
+    assert len(set(katz.Asked(keys, 8).keys.tolist())) == 1
+    asked = katz.Asked(keys, 8, katz.TOKEN_BITS)
+    rows = asked.rows(0, np.array([5, 7])[np.argsort(asked.inverse)])
+    table = pa.Table.from_batches([chunks.blob_batch(rows)])
+    answers = {r["part"]: r["blob"] for r in katz._answer_counts(table).to_pylist() if r["chunk"] == 0}
+    assert asked.read(answers, np.int64, np.int8)[0][asked.inverse].tolist() == [5, 7]
+
+
+def test_template_lines_meet_by_their_parts(spark, monkeypatch):
+    """Lines of one template with long random tokens are compared about as often as there are lines; a letter changed in a token is found."""
+    import random
+
+    rng, asked = random.Random(3), []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+
+    def run(n):
+        tokens = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(n)]
+        docs = [(i, f"see the old log for it at {t} now") for i, t in enumerate([*tokens, tokens[0][:30] + "0" + tokens[0][31:]])]
+        asked.clear()
+        kept = lines.kept_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+        return {r.row.doc_id for r in kept.where("lines.n_removed > 0").collect()}, sum(asked)
+
+    for n in (150, 300):
+        gone, pairs = run(n)
+        assert gone == {n} and pairs < 15 * n
