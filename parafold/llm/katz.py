@@ -38,8 +38,8 @@ from .chunks import BLOBS, Chunk, blob_batch, by_part, each_chunk, expand, mix,
 LARGEST = 5
 #: Tokens of the longest grams, and the most that there can be.
 ORDER, MOST_ORDER = 2, 5
-#: Bits of a key within its partition.
-KEY_BITS = 48
+#: Bits of a key within its partition; single tokens, whose counts are exact, keep all.
+KEY_BITS, TOKEN_BITS = 48, 64
 #: Chunk numbers of the rows that hold a partition's table and its sums.
 TABLE, SUMS = -1, -2
 
@@ -90,11 +90,11 @@ class Tokens:
 
 
 class Asked:
-    """Distinct keys in the order they are asked in: by partition, then by their ``KEY_BITS``."""
+    """Distinct keys in the order they are asked in: by partition, then by their first ``bits``."""
 
-    def __init__(self, keys: np.ndarray, parts: int):
+    def __init__(self, keys: np.ndarray, parts: int, bits: int = KEY_BITS):
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        part, small = (distinct % np.uint64(parts)).astype(np.int64), mix(distinct) >> np.uint64(64 - KEY_BITS)
+        part, small = (distinct % np.uint64(parts)).astype(np.int64), mix(distinct) >> np.uint64(64 - bits)
         order = np.lexsort((small, part))
         self.keys, self.first = small[order], first[order]
         self.bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -127,7 +127,7 @@ def _columns(table: pa.Table, *kinds) -> tuple[list[int], list[int], list[np.nda
 def _ask_counts(parts: int, order: int):
     def ask(chunk: Chunk, _) -> pa.RecordBatch:
         tokens = Tokens(chunk)
-        asked = Asked(tokens.grams(order), parts)
+        asked = Asked(tokens.grams(order), parts, KEY_BITS if order > 1 else TOKEN_BITS)
         counts = np.bincount(asked.inverse, tokens.trained, len(asked.keys)).astype(np.int64)
         return blob_batch(asked.rows(chunk.number, counts))
 
@@ -205,7 +205,7 @@ class Recursion:
     """Probabilities of the tokens of a chunk, from the answers about grams and contexts of each order."""
 
     def __init__(self, tokens: Tokens, answers: list[dict[int, bytes]], parts: int, unigrams: Unigrams, ratios: list[np.ndarray]):
-        single = Asked(tokens.keys, parts)
+        single = Asked(tokens.keys, parts, TOKEN_BITS)
         self.counts = single.read(answers[0], np.int64, np.int8)[0][single.inverse]
         self.p = unigrams.p(self.counts)
         for order in range(2, (len(answers) + 3) // 2):  # those whose contexts are answered too
