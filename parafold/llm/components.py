@@ -22,6 +22,13 @@ def _star(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each node of ``pairs`` (a, b) is a root or has one root: then no step changes anything."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("below")), F.struct(F.col("b").alias("u"), F.lit(0).alias("below")))).alias("e")
+    nodes = pairs.select(ends).groupBy("e.u").agg(F.sum("e.below").alias("below"), F.min("e.below").alias("least"))
+    return nodes.where("below > 1 OR below = 1 AND least = 0").isEmpty()
+
+
 def components(edges: DataFrame, work: Scratch, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node.
 
@@ -29,12 +36,9 @@ def components(edges: DataFrame, work: Scratch, name: str = "components") -> Dat
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = work.save(pairs, f"{name}_0")
-    before, step = None, 0
-    while True:
-        state = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
-            break
-        before, step = state, step + 1
+    step = 0
+    while not _stars(pairs):
+        step += 1
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, work, f"{name}_{step}l").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = work.save(large, f"{name}_{step}l")

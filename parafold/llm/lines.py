@@ -13,16 +13,14 @@ most of their blocks differ in the others by chance, where the key was all that
 they share) are linked if their edit similarity is ``SIMILARITY`` or more.
 
 Candidates of a bucket are first compared with its least class, and what these
-links connect is one group.  Only pairs across groups are compared after that: in
-small buckets all, in large ones those with a common rare part.  The parts of a line are its
-words, long ones cut from both ends; the rarest parts in the bucket that hold
-``PREFIX`` of its letters are keys.  Two lines without a common key differ in so
-many letters' worth of parts, which is more than whole words that are changed can
-come to in lines that are alike; a line with a letter changed in each of so many words
-can be missed.  In a large bucket of parts every class outside the largest group
-meets all other groups.  So a bucket of copies costs a comparison for each
-member, and one of lines that share a template and are not alike costs its parts;
-unlike lines with a rare part in common still meet in pairs.
+links connect is one group.  Only pairs across groups are compared after that, and
+all of them: every class outside the largest group of its bucket meets all members,
+in tiles of a bounded number of classes.  A pair goes on to be verified if its
+lengths, blocks and pairs of letters leave it possible: an edit takes two pairs of
+letters from a line at most, so that a line with more than twice the allowed edits
+of pairs that the other does not have is not alike.  So a bucket of copies costs a
+comparison for each member; one of n unlike lines n * n / 2 tests of a few longs
+where rows meet, and rows and edit distances only for what passes these.
 Of a connected group the occurrence of the least (doc_id, line) stays; null ids
 come last.
 
@@ -54,12 +52,10 @@ LETTERS, FEW_WORDS = 4, 3
 SPANS = (2, 3, 4, 6)
 #: Bits of a word's hash that vote; all are below bit 58, which the block is taken from.
 VOTES = [b for k in range(0, 64, 8) for b in (k, k + 1)]
-#: Classes of a bucket of which all pairs across groups are compared at once.
-SMALL = 8
-#: Words of more letters are cut into parts of ``PART`` letters, from both ends.
-WHOLE, PART = 12, 8
-#: Share of a line's letters in the rarest parts, which are keys in a large bucket.
-PREFIX = 0.4
+#: Longs of the map of a line's pairs of letters.
+MAP = 16
+#: Members outside the largest group of a bucket that meet all members in one task.
+TILE = 1024
 #: Edits that are tried before all that the similarity allows.
 FEW_EDITS = (32, 128, 512, 2048, 8192)
 
@@ -130,13 +126,18 @@ def class_keys(classes: DataFrame) -> DataFrame:
     return keyed(classes.where(~long), 16).unionByName(keyed(classes.where(long), 32))
 
 
+def _agreeing(u: str, v: str) -> str:
+    """Whether prints agree in ``AGREE`` blocks, or one fills too few to ask for that."""
+    same = " + ".join(f"int({u}[{b}] = {v}[{b}] and {u}[{b}] != 0)" for b in range(BLOCKS))
+    few = " or ".join(" + ".join(f"int({c}[{b}] != 0)" for b in range(BLOCKS)) + f" < {FILLED}" for c in (u, v))
+    return f"({same} >= {AGREE} or {few})"
+
+
 def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between classes of the pairs (a, b) of k1 that are alike."""
     left = norms.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("norm").alias("x"), F.col("blocks").alias("u"))
     right = norms.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("norm").alias("y"), F.col("blocks").alias("v"))
-    same = " + ".join(f"int(u[{b}] = v[{b}] and u[{b}] != 0)" for b in range(BLOCKS))
-    few = " or ".join(" + ".join(f"int({c}[{b}] != 0)" for b in range(BLOCKS)) + f" < {FILLED}" for c in "uv")
-    both = pairs.join(left, "a").join(right, "b").where(F.expr(f"{same} >= {AGREE} or {few}")).drop("u", "v")
+    both = pairs.join(left, "a").join(right, "b").where(F.expr(_agreeing("u", "v"))).drop("u", "v")
     most = f"cast(floor({1 - similarity} * greatest(length(x), length(y)) + 1e-9) as int)"
     both = both.where(F.expr(f"abs(length(x) - length(y)) <= {most}"))
     both = both.select("a", "a2", "b", "b2", F.expr(most).alias("most"), F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
@@ -156,30 +157,41 @@ def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFram
     return both.select(F.struct(F.col("a").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b").alias("k1"), F.col("b2").alias("k2")).alias("b"))
 
 
-def _rare_parts(large: DataFrame, norms: DataFrame) -> DataFrame:
-    """(key, k1, label): members of large buckets again, by bucket and each of their rarest parts that another member has."""
-    cut = "transform(sequence(0, (length({0}) - 1) div {1}), i -> struct(xxhash64('{2}', substr({0}, 1 + {1} * i, {1})) as h, length(substr({0}, 1 + {1} * i, {1})) as m))"
-    word = f"if(length(w) <= {WHOLE}, array(struct(xxhash64(w) as h, 2 * length(w) as m)), concat({cut.format('w', PART, 'head')}, {cut.format('reverse(w)', PART, 'tail')}))"
-    parts = F.array_distinct(F.expr(f"flatten(transform(array_distinct(split(norm, ' ')), w -> {word}))"))
-    own = norms.join(large.select("k1").distinct(), "k1", "left_semi").select("k1", parts.alias("parts"))
-    own = own.select("k1", F.expr("aggregate(parts, 0L, (s, p) -> s + p.m)").alias("all"), F.explode("parts").alias("p")).select("k1", "all", "p.h", "p.m")
-    held = large.select("key", "k1", "label").join(own, "k1")
-    known = held.groupBy("key", "h").agg(F.count(F.lit(1)).alias("df"))
-    rarer = W.partitionBy("key", "k1").orderBy("df", "h").rowsBetween(W.unboundedPreceding, -1)
-    ranked = held.join(known, ["key", "h"]).withColumn("before", F.coalesce(F.sum("m").over(rarer), F.lit(0)))
-    return ranked.where(F.col("before") <= PREFIX * F.col("all")).where("df > 1").select(F.xxhash64("key", "h").alias("key"), "k1", "label")
+def _sketched(members: DataFrame, norms: DataFrame) -> DataFrame:
+    """``members`` with the length, the blocks and the map of pairs of letters of each line."""
+    # A pair of letters sets one of 64 * MAP bits.
+    pairs = f"transform(slice(c, 1, size(c) - 1), (x, i) -> pmod(hash(x, c[i + 1]), {64 * MAP}))"
+    bits = let("split(norm, '')", "c", f"array_distinct({pairs})")
+    longs = let(bits, "bs", f"transform(sequence(0, {MAP - 1}), w -> aggregate(filter(bs, b -> b div 64 = w), 0L, (s, b) -> s | shiftleft(1L, b % 64)))")
+    own = norms.join(members.select("k1").distinct(), "k1", "left_semi")
+    return members.join(own.select("k1", F.length("norm").alias("letters"), "blocks", F.expr(longs).alias("grams")), "k1")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members (key, k1, label) of the buckets with more than one label, their size ``n`` and largest label."""
+    """Members (key, k1, label) of the buckets with more than one label, the largest label and the number of ``tiles`` of the others."""
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
-    return members.join(sizes.where("groups > 1").select("key", "n", F.col("most.label").alias("largest")), "key")
+    tiles = F.ceil((F.col("n") - F.col("most.n")) / TILE).cast("int").alias("tiles")
+    return members.join(sizes.where("groups > 1").select("key", tiles, F.col("most.label").alias("largest")), "key")
 
 
-def _small_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs (a, b) across labels within small buckets."""
-    small = mixed.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("k1", "label")).alias("m"))
-    return small.select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.label != x.label and y.k1 > x.k1), y -> named_struct('a', x.k1, 'b', y.k1))))")).alias("p")).select("p.a", "p.b")
+def _across(mixed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) across labels of each bucket that length, blocks and maps leave possible.
+
+    A tile of the members outside the largest group meets all members; what can't
+    be alike is left out where they meet.
+    """
+    sides = ["key", "k1", "label", "letters", "blocks", "grams"]
+    every = mixed.select(*sides, "largest", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    own = mixed.where("label != largest").select("key", *[F.col(c).alias(f"own_{c}") for c in sides[1:]], F.expr("pmod(hash(k1), tiles)").alias("tile"))
+    most = f"floor({1 - similarity} * greatest(letters, own_letters) + 1e-9)"
+    # An edit takes two pairs of letters from a line at most.
+    lost = [" + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(MAP)) for x, y in (("grams", "own_grams"), ("own_grams", "grams"))]
+    # Two members outside the largest group meet twice.
+    tests = ["label != own_label", "(label = largest or k1 < own_k1)", f"abs(letters - own_letters) <= {most}", _agreeing("blocks", "own_blocks"), *(f"{x} <= 2 * {most}" for x in lost)]
+    met = every.join(own, ["key", "tile"]).where(F.expr(" and ".join(tests)))
+    # One that all members meet is ``a``: edit distances are taken where ``b`` is.
+    once = met.groupBy(F.least("k1", "own_k1").alias("x"), F.greatest("k1", "own_k1").alias("y")).agg(F.min("own_k1").alias("a"))
+    return once.select("a", F.expr("if(a = x, y, x)").alias("b"))
 
 
 def _joined(roots: DataFrame, edges: DataFrame, work: Scratch) -> DataFrame:
@@ -210,26 +222,24 @@ def linked_classes(classes: DataFrame, work: Scratch, similarity: float = SIMILA
     roots = work.save(components(links, work, "linked"), "roots")
     labels = roots.groupBy(F.col("node.k1").alias("k1")).agg(F.min("root.k1").alias("label"))
     members = members.where("n > 2").select("key", "k1").join(labels, "k1", "left").select("key", "k1", F.coalesce("label", "k1").alias("label"))
-    mixed = work.save(_mixed(members), "mixed_0")
+    mixed = work.save(_mixed(members), "mixed")
     work.drop("members_0", "links")
-    parts = work.save(_rare_parts(mixed.where(F.col("n") > SMALL), norms), "parts")
-    again = work.save(_mixed(parts), "mixed_1")
-    large = again.where(F.col("n") > SMALL)
-    others = large.where("label != largest").select("key", F.col("k1").alias("own"), F.col("label").alias("other"))
-    across = large.join(others, "key").where("label != other").select(F.least("k1", "own").alias("a"), F.greatest("k1", "own").alias("b"))
-    pairs = _small_pairs(mixed).unionByName(_small_pairs(again)).unionByName(across).distinct()
-    later = work.save(_verified(pairs, norms, similarity), "later_links")
+    mixed = work.save(_sketched(mixed, norms), "sketched")
+    later = work.save(_verified(_across(mixed, similarity), norms, similarity), "later_links")
     if not later.isEmpty():
         roots = work.save(_joined(roots, later, work), "roots_of_all")
-    work.drop("norms", "parts", "mixed_0", "mixed_1", "later_links")
+    work.drop("norms", "mixed", "sketched", "later_links")
     return roots
 
 
 def line_groups(docs: DataFrame, work: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The table of lines, and (k1, k2, stays) of each class with two lines or links; ``stays`` is where the line is that stays."""
-    texts = work.save(line_table(docs), "texts")
+    texts = work.save(line_table(docs), "normal")
     classes = texts.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n_lines"), F.first("norm").alias("norm"))
     classes = work.save(classes, "classes")
+    # From here on the places of lines do without what is in them.
+    texts = work.save(texts.select("k1", "k2", "at"), "texts")
+    work.drop("normal")
     roots = linked_classes(classes, work, similarity)
     node = F.struct("k1", "k2")
     own = classes.select("k1", "k2", "at", "n_lines", node.alias("node")).join(roots, "node", "left").where("n_lines > 1 OR root IS NOT NULL")
@@ -238,7 +248,7 @@ def line_groups(docs: DataFrame, work: Scratch, similarity: float = SIMILARITY)
     joined = own.where("root IS NOT NULL").join(first, "root").select("k1", "k2", "stays")
     groups = work.save(joined.unionByName(own.where("root IS NULL").select("k1", "k2", F.col("at").alias("stays"))), "groups")
     work.drop("classes", "grouped")
-    return texts.select("k1", "k2", "at"), groups
+    return texts, groups
 
 
 def doubled_lines(docs: DataFrame, work: Scratch, **options) -> DataFrame:

@@ -241,3 +241,35 @@ def test_template_lines_meet_by_their_parts(spark, monkeypatch):
     for n in (150, 300):
         gone, pairs = run(n)
         assert gone == {n} and pairs < 15 * n
+
+
+def test_lines_changed_in_every_word_meet_in_large_buckets(spark, monkeypatch):
+    """In a large bucket all pairs across groups are compared, also where no word is the same; tiles change nothing."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    spoil = lambda w: w[:4] + "0" + w[5:]  # noqa: E731  a letter of nine, so that neither end of the word is left
+    plain = [[word(9) for _ in range(9)] for _ in range(12)]
+    rows = [" ".join(ws) for ws in plain] + [" ".join(map(spoil, ws)) for ws in plain] + ["a", "", "日本 x"]
+    norms = spark.createDataFrame([(i, -i, r, [7] * lines.BLOCKS) for i, r in enumerate(rows)], "k1 long, k2 long, norm string, blocks array<int>")
+    members = norms.selectExpr("1L AS key", "k1", "k1 AS label")
+    want = {(i, i + 12) for i in range(12)}
+    for tile in (lines.TILE, 5):
+        monkeypatch.setattr(lines, "TILE", tile)
+        pairs = lines._across(lines._sketched(lines._mixed(members), norms), lines.SIMILARITY)
+        got = [tuple(sorted((r.a, r.b))) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and len(got) < len(rows)
+    alike = lines._verified(pairs, norms, lines.SIMILARITY).collect()
+    assert {tuple(sorted((r.a.k1, r.b.k1))) for r in alike} == want
+
+
+def test_components_stop_at_stars(spark):
+    """Chains, hubs and stars that are stars from the start; each node has the least of its own."""
+    from parafold.llm.components import components
+    from parafold.scratch import Scratch
+
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (10, 12), (13, 10), (20, 20), (None, 3), (30, 31), (32, 31)]
+    got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
+    assert got == {(n, 1) for n in range(1, 6)} | {(n, 10) for n in range(10, 14)} | {(n, 30) for n in (30, 31, 32)}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
