@@ -232,7 +232,8 @@ def neighbours(marks: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Da
         return own.select(name, F.explode(block_keys(F.col(name), radius)).alias("key"))
 
     # Rows that are shuffled have a key and a fingerprint; what they share is found where they meet.
-    joined = table(queries, "query").join(table(marks, "found"), "key")
+    # Queries are a share of the rows: sent whole to each executor, they would grow with the input.
+    joined = table(queries, "query").join(table(marks, "found").hint("merge"), "key")
     distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_words64("query"), _words64("found"), strict=True)), F.lit(0))
     near = joined.select("key", "query", "found", distance.alias("distance")).where(F.col("distance") <= radius)
     # Keys of a table are in its place of the array: the first place where both agree is the one that counts.

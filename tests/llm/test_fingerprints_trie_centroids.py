@@ -109,6 +109,13 @@ def test_neighbours_by_brute_force(spark, radius):
     assert got == sorted((q, m, far(q, m)) for q in marks[::5] for m in marks if far(q, m) <= radius)
 
 
+def test_neighbours_send_no_table_whole(spark):
+    """Block tables of few queries are shuffled too, so that little and much data have one plan."""
+    marks = spark.range(100).selectExpr("unhex(sha2(string(id), 256)) AS fingerprint")
+    plan = fingerprints.neighbours(marks, marks.limit(2))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprint_query(spark):
     got = QUERIES["op11_fingerprints"](spark, DIR).collect()
     docs = pq.read_table(f"{DIR}/documents.parquet").to_pandas()
