@@ -157,13 +157,14 @@ def _carried(rows: DataFrame, inputs: Sequence[str] | None, recurrence: Recurren
     return work.save(_blocked(folded, block, deeper).select("g", "i", "given", "carried", "opens").mapInArrow(_applier(None, recurrence, ()), schema), f"carried_{level}")
 
 
-def scan(rows: DataFrame, recurrence: Recurrence, inputs: Mapping[str, Column], outputs: Sequence[str], order: Sequence[str], key: str | Sequence[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """``rows`` with double columns ``outputs`` of a recurrence over the numbers ``inputs``, within each key in ``order``."""
-    clash = {c.lower() for c in outputs} & {c.lower() for c in rows.columns}
+def scan(rows: DataFrame, recurrence: Recurrence, inputs: Mapping[str, Column], outputs: Sequence[str], order: Sequence[str], key: str | Sequence[str] | None = None, block: int = BLOCK, keep: Sequence[str] | None = None) -> DataFrame:
+    """``rows`` (of its columns ``keep``, all if none) with double columns ``outputs`` of a recurrence over the numbers ``inputs``, within each key in ``order``."""
+    keep = rows.columns if keep is None else keep
+    clash = {c.lower() for c in outputs} & {c.lower() for c in keep}
     if clash or block < 2:
         raise ValueError(f"there are columns {sorted(clash)} already" if clash else "a block has at least two rows")
     work = Scratch(rows.sparkSession, "scan")
-    numbers = number_rows(rows.select(F.struct("*").alias("row"), key_struct(key).alias("g"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], *[v.cast("double").alias(c) for c, v in inputs.items()]), [f"o{n}" for n in range(len(order))], "g", "i")
+    numbers = number_rows(rows.select((F.struct("*") if keep == rows.columns else F.struct(*keep)).alias("row"), key_struct(key).alias("g"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], *[v.cast("double").alias(c) for c, v in inputs.items()]), [f"o{n}" for n in range(len(order))], "g", "i")
     own = work.save(numbers.select("row", "g", "i", F.lit(None).cast("array<double>").alias("given"), *inputs), "rows")
     top = own.agg(F.max("i")).first()[0] or 0
     carries = _carried(own, list(inputs), recurrence, top, block, work, 0)
@@ -310,6 +311,25 @@ def height_kalman(rows: DataFrame, acceleration: float, noise: float, dt: Column
     return scan(rows, kalman_recurrence(noise, start), inputs, ["height", "velocity", "height_var", "innovation"], order, key, block)
 
 
+def swept(recurrence: Recurrence, name: str, values: Sequence[float], output: str) -> Recurrence:
+    """The recurrence once for each value of its input ``name``, side by side; results are ``output_0``, ``output_1``, ..."""
+    k, width = len(values), recurrence.width
+
+    def given(v: Mapping[str, np.ndarray], value: float) -> dict[str, np.ndarray]:
+        return {**v, name: np.full(len(v["first"]), value)}
+
+    def result(before, now, v):
+        parts = [slice(n * width, (n + 1) * width) for n in range(k)]
+        return {f"{output}_{n}": recurrence.result(before[:, p], now[:, p], given(v, values[n]))[output] for n, p in enumerate(parts)}
+
+    return Recurrence(
+        k * width,
+        lambda v: np.concatenate([recurrence.element(given(v, x)) for x in values], axis=1),
+        lambda x, y: recurrence.combine(x.reshape(-1, width), y.reshape(-1, width)).reshape(-1, k * width),
+        result,
+    )
+
+
 def noise_sweep(rows: DataFrame, factors: Sequence[float], acceleration: float, noise: float, dt: Column, bound: float, value: str = "value", key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), block: int = BLOCK) -> DataFrame:
     """(key, factor, n, rms_innovation, diverged): the Kalman filter of each key with each multiple of its process noise.
 
@@ -317,10 +337,12 @@ def noise_sweep(rows: DataFrame, factors: Sequence[float], acceleration: float,
     ``bound`` or no number.
     """
     own = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("z"), dt.cast("double").alias("dt"))
-    own = own.select("*", F.explode(F.array(*[F.lit(float(f)) for f in factors])).alias("factor"))
-    run = height_kalman(own, acceleration, noise, F.col("dt"), "z", ["key", "factor"], [f"o{i}" for i in range(len(order))], factor=F.col("factor"), block=block)
-    rms = F.sqrt(F.avg(F.col("innovation") * F.col("innovation")))
-    out = run.groupBy(F.col("key").alias(key), "factor").agg(F.count("innovation").alias("n"), rms.alias("rms_innovation"))
+    # A row is numbered and dealt once; the filters of all factors run over it together.
+    filters = swept(kalman_recurrence(noise, (1.0, 1.0)), "q", [float(f) * acceleration**2 for f in factors], "innovation")
+    names = [f"innovation_{n}" for n in range(len(factors))]
+    run = scan(own, filters, {"z": F.col("z"), "dt": F.col("dt")}, names, [f"o{i}" for i in range(len(order))], "key", block, ["key"])
+    runs = [F.struct(F.lit(float(f)).alias("factor"), F.count(c).alias("n"), F.sqrt(F.avg(F.col(c) * F.col(c))).alias("rms_innovation")) for f, c in zip(factors, names, strict=True)]
+    out = run.groupBy("key").agg(F.array(*runs).alias("runs")).select(F.col("key").alias(key), F.explode("runs").alias("run")).select(key, "run.*")
     return out.withColumn("diverged", (F.col("n") > 0) & ~F.coalesce(F.col("rms_innovation") <= bound, F.lit(False)))
 
 

@@ -140,6 +140,22 @@ def test_noise_sweep_flags(spark):
         filters.low_pass(rows, 30.0, 50.0)
 
 
+def test_noise_sweep_numbers_each_row_once(spark, monkeypatch):
+    """As many rows are numbered as there are, whatever the number of factors; each run is that of its factor alone, with null readings and keys."""
+    rng, asked = random.Random(6), []
+    table = [(None if i % 3 == 0 else i % 2, i, None if rng.random() < 0.2 else rng.gauss(0, 3)) for i in range(150)]
+    rows = spark.createDataFrame(table, "user_id long, ts long, value double").withColumn("event_id", F.col("ts"))
+    number_rows = filters.number_rows
+    monkeypatch.setattr(filters, "number_rows", lambda own, *rest: asked.append(own.count()) or number_rows(own, *rest))
+    factors = [0.1, 1.0, 30.0]
+    got = {(r.user_id, r.factor): (r.n, r.rms_innovation) for r in filters.noise_sweep(rows, factors, 0.5, 0.8, F.lit(0.3), 5.0, block=4).collect()}
+    assert asked == [150] and len(got) == 9
+    for f in factors:
+        one = filters.height_kalman(rows, 0.5, 0.8, F.lit(0.3), block=4, factor=F.lit(f)).groupBy("user_id").agg(F.count("innovation").alias("n"), F.sqrt(F.avg(F.col("innovation") * F.col("innovation"))).alias("rms"))
+        for r in one.collect():
+            assert got[r.user_id, f] == (r.n, r.rms and pytest.approx(r.rms, rel=1e-12))
+
+
 @pytest.mark.parametrize("field", [(), ("mx", "my", "mz")])
 def test_mahony_by_rows(spark, field):
     """A key longer than a batch, a null reading, nulls of the field, readings of no length."""
