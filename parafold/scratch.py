@@ -87,7 +87,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more, and collect the driver's garbage.
+
+        Plans of the jobs that read them are garbage by then: left alone they
+        grow the driver's heap to its limit, and broadcasts and shuffles wait for
+        Spark's cleaner, which acts on what has been collected.
+        """
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()

@@ -273,3 +273,22 @@ def test_components_stop_at_stars(spark):
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     assert got == {(n, 1) for n in range(1, 6)} | {(n, 10) for n in range(10, 14)} | {(n, 30) for n in (30, 31, 32)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+def test_dropping_tables_collects_the_drivers_garbage(spark):
+    """What the driver no longer holds is gone once a table is dropped, not when its heap is full."""
+    import gc
+    import time
+
+    from parafold.scratch import Scratch
+
+    work = Scratch(spark, "test")
+    work.save(spark.range(3), "three")
+    jvm = spark.sparkContext._jvm
+    held = jvm.java.lang.Object()
+    weak = jvm.java.lang.ref.WeakReference(held)
+    del held
+    gc.collect()
+    time.sleep(3)  # Py4J tells the JVM in a thread of its own
+    work.drop("three")
+    assert weak.get() is None
